@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import distinctive, encode, setjoin
+from quillstone.llm import distinctive, encode, neardup, setjoin
 from quillstone.llm.arrow import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = ["title", "books_intro", "author_intro"]
+    pairs, members = neardup.near_duplicates(table(spark, sf_dir, "books"), "book_id", "books_intro", parts)
+    return setjoin.expanded(pairs, members).select(F.col("a").alias("book_a"), F.col("b").alias("book_b"))
+
+
 def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = table(spark, sf_dir, "books")
     return distinctive.parsimonious(distinctive.keyword_occurrences(books, "book_id", "keywords", "books_intro", "reviews"))
@@ -33,6 +39,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_top_terms": p5_top_terms,
     "p7_found": p7_found,
