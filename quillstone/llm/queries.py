@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import distinctive, encode, neardup, setjoin
+from quillstone.llm import distinctive, encode, neardup, setjoin, vectors
 from quillstone.llm.arrow import table
 
 
@@ -29,6 +29,11 @@ def p5_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.col("record").alias("book_id"), "rank", "term", F.round("weight", 9).alias("weight"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.nearest(table(spark, sf_dir, "books"), "book_id", "embedding", 128)
+    return found.select(F.col("record").alias("book_id"), F.col("neighbour").alias("neighbour_id"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, members = setjoin.similar_sets(table(spark, sf_dir, "books"), "book_id", "keywords", "domain_tags", 3)
     return setjoin.expanded(pairs, members).select(F.col("a").alias("book_a"), F.col("b").alias("book_b"))
@@ -42,6 +47,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_top_terms": p5_top_terms,
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
 }
