@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import distinctive, encode, neardup, setjoin, vectors
+from quillstone.llm import distinctive, encode, names, neardup, setjoin, vectors
 from quillstone.llm.arrow import table
 
 
@@ -15,6 +15,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.expanded(pairs, members).select(F.col("a").alias("book_a"), F.col("b").alias("book_b"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = names.variant_pairs(table(spark, sf_dir, "books"), "authors")
+    return pairs.select(F.col("a").alias("name_a"), F.col("b").alias("name_b"))
+
+
 def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = table(spark, sf_dir, "books")
     return distinctive.parsimonious(distinctive.keyword_occurrences(books, "book_id", "keywords", "books_intro", "reviews"))
@@ -45,6 +50,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_top_terms": p5_top_terms,
     "p6_found": p6_found,
