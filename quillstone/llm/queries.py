@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import distinctive, encode, names, neardup, setjoin, vectors
+from quillstone.llm import distinctive, encode, names, neardup, setjoin, subjects, vectors
 from quillstone.llm.arrow import table
 
 
+def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = (table(spark, sf_dir, name) for name in ("books", "subject_labels", "domain_lexicon"))
+    return subjects.subject_scores(*given).withColumnRenamed("record", "book_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_scores(spark, sf_dir).filter("score >= 0.5").select("book_id", "subject")
+
+
+def p2_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books of each subject, and their share of all books that show a subject; a book of several counts for each in part."""
+    held = p2_found(spark, sf_dir)
+    parts = held.join(held.groupBy("book_id").agg((1 / F.count("*")).alias("part")), "book_id")
+    total = parts.agg(F.sum("part").alias("total"))
+    counted = parts.groupBy("subject").agg(F.count("*").alias("books"), F.sum("part").alias("weight"))
+    return counted.crossJoin(F.broadcast(total)).select("subject", "books", F.round(F.col("weight") / F.col("total"), 6).alias("share"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = ["title", "books_intro", "author_intro"]
     pairs, members = neardup.near_duplicates(table(spark, sf_dir, "books"), "book_id", "books_intro", parts)
@@ -49,6 +67,8 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_composition": p2_composition,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
