@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import distinctive, encode, names, neardup, setjoin, subjects, vectors
+from quillstone.llm import abuse, distinctive, encode, names, neardup, setjoin, subjects, vectors
 from quillstone.llm.arrow import table
 
 
@@ -66,6 +66,23 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"))
 
 
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "moderation_labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_scores(spark, sf_dir).filter("toxic").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, toxic ones and their rate per source, sources in one notation."""
+    source = F.regexp_replace(F.lower(F.trim("source")), "-", "_").alias("source")
+    documents = table(spark, sf_dir, "documents").select("doc_id", source)
+    scored = p10_scores(spark, sf_dir).select("doc_id", "toxic")
+    counted = documents.join(scored, "doc_id").groupBy("source").agg(F.count("*").alias("documents"), F.count_if("toxic").alias("toxic"))
+    return counted.withColumn("rate", F.round(F.col("toxic") / F.col("documents"), 6))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_composition": p2_composition,
@@ -76,6 +93,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
