@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import abuse, distinctive, encode, names, neardup, setjoin, subjects, vectors
+from quillstone.llm import abuse, distinctive, encode, mixing, names, neardup, ranking, setjoin, subjects, vectors
 from quillstone.llm.arrow import table
 
 
+def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every target, ranked by leximin over final score, rating and publication date."""
+    scored = ranking.candidate_scores(table(spark, sf_dir, "recommendations"), table(spark, sf_dir, "books"))
+    ranked = ranking.leximin(scored, "target_book_id", "rec_id", ["final_score", "rating", "published"])
+    columns = [F.col("percentiles")[i].alias(n) for i, n in enumerate(["p_final_score", "p_rating", "p_published"])]
+    return ranked.select("target_book_id", "rec_id", "rank", *columns)
+
+
+def p1_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All books in one ranking by leximin over rating, publication date and number of reviews."""
+    scored = ranking.catalogue_scores(table(spark, sf_dir, "books"), "2026-01-01")
+    ranked = ranking.leximin(scored, "catalogue", "book_id", ["rating", "published", "reviews"])
+    columns = [F.col("percentiles")[i].alias(n) for i, n in enumerate(["p_rating", "p_published", "p_reviews"])]
+    return ranked.select("book_id", "rank", *columns)
+
+
 def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = (table(spark, sf_dir, name) for name in ("books", "subject_labels", "domain_lexicon"))
     return subjects.subject_scores(*given).withColumnRenamed("record", "book_id")
@@ -66,6 +82,16 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, _ = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+    return mixed.select("doc_id", "source", "n_tokens", F.round("rate", 6).alias("rate"), "copies")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, reached = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+    return reached
+
+
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "moderation_labels"))
 
@@ -84,6 +110,8 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_ranking": p1_ranking,
+    "p1_catalogue": p1_catalogue,
     "p2_found": p2_found,
     "p2_composition": p2_composition,
     "p3_found": p3_found,
@@ -93,8 +121,65 @@ QUERIES = {
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LEXIMIN = """, counted as (
+    select *, {shares}
+    from scored
+), vectors as (
+    select *, list_sort([{names}]) as vector from counted
+)
+select {columns}, cast(row_number() over (partition by {group} order by vector desc, {item}) as bigint) as rank, {names} from vectors"""
+
+
+def _share(score: str, name: str, group: str) -> str:
+    """Mid-rank percentile among the group's known values, 0.5 for an unknown one."""
+    known = f"partition by {group}, {score} is null"
+    return (
+        f"round(case when {score} is null then 0.5 else (rank() over ({known} order by {score}) - 1"
+        f" + count(*) over ({known}, {score}) / 2.0) / count(*) over ({known}) end, 9) as {name}"
+    )
+
+
+def _leximin_sql(scored: str, group: str, item: str, columns: str, scores: dict[str, str]) -> str:
+    shares = ", ".join(_share(s, n, group) for s, n in scores.items())
+    return f"with {scored}" + _LEXIMIN.format(shares=shares, names=", ".join(scores.values()), columns=columns, group=group, item=item)
+
+
+_FORMATS = "['%Y-%m-%d', '%Y/%m/%d', '%Y年%m月%d日', '%Y-%m', '%Y/%m', '%Y年%m月', '%Y']"
+_USUAL = "case when {0} >= date '1901-01-01' and {0} <= coalesce(cast(requested_at as date), date '9999-12-31') then {0} end"
+
+ORACLE_SQL: dict[str, str] = {
+    "p1_ranking": _leximin_sql(
+        f"""dated as (
+    select r.*, b.rating as book_rating, b.publication_date as book_date,
+        cast(coalesce(try_strptime(trim(r.publication_date), {_FORMATS}), try_strptime(left(trim(r.publication_date), 10), '%Y-%m-%d')) as date) as d
+    from (select distinct on (rec_id) * from recommendations) r left join books b using (book_id)
+), scored as (
+    select rec_id, target_book_id, final_score,
+        coalesce(case when rating > 0 then rating end, case when book_rating > 0 then book_rating end) as rating,
+        coalesce({_USUAL.format("d")}, {_USUAL.format("book_date")}) as published
+    from dated
+)""",
+        "target_book_id",
+        "rec_id",
+        "target_book_id, rec_id",
+        {"final_score": "p_final_score", "rating": "p_rating", "published": "p_published"},
+    ),
+    "p1_catalogue": _leximin_sql(
+        """scored as (
+    select 1 as catalogue, book_id, case when rating > 0 then rating end as rating,
+        case when publication_date between date '1901-01-01' and date '2026-01-01' then publication_date end as published,
+        coalesce(len(reviews), 0) as reviews
+    from books
+)""",
+        "catalogue",
+        "book_id",
+        "book_id",
+        {"rating": "p_rating", "published": "p_published", "reviews": "p_reviews"},
+    ),
+}
