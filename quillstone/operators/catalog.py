@@ -12,7 +12,7 @@ ORDERS = {"rating": "rating", "newest": "publication_date"}
 
 def matches(search: str) -> Column:
     """Title or an author contains the text, in any case; % and _ in it are wildcards."""
-    pattern = F.lit(f"%{search.lower()}%")
+    pattern = f"%{search.lower()}%"
     return F.coalesce(F.lower("title").like(pattern), F.lit(False)) | F.coalesce(F.exists("authors", lambda a: F.lower(a).like(pattern)), F.lit(False))
 
 

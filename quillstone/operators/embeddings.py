@@ -6,6 +6,7 @@ texts, so similarities mean something without a model."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -18,20 +19,30 @@ from quillstone.functions.text import tokens
 Encoder = Callable[[list[str]], list[list[float]]]
 
 
-def hashed(words: Column, size: int = 768) -> Column:
-    """Vector of a token list at length one: every word's slot is its checksum modulo the size; zeros for none.
-
-    Built of the record's distinct slots only, in the JVM."""
-    slots = F.transform(words, lambda w: F.pmod(F.crc32(F.encode(w, "utf-8")), F.lit(size)).cast("int"))
-    counts = F.map_from_entries(
-        F.transform(F.array_distinct(slots), lambda s: F.struct(s, F.size(F.filter(slots, lambda x: x == s)).cast("double")))
-    )
-    norm = F.sqrt(F.aggregate(F.map_values(counts), F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(norm > 0, F.coalesce(F.try_element_at(counts, i), F.lit(0.0)) / norm).otherwise(0.0))
+def hashed_documents(df: DataFrame, id_col: str, text: Column, size: int = 768) -> DataFrame:
+    """(id, embedding): word counts at length one, every word in the slot of its checksum modulo the size;
+    zeros for a text without words."""
+    kept = df.select(F.col(id_col).alias("id"), tokens(text).alias("words"))
 
+    def run(batches):
+        slots: dict[str, int] = {}
+        for batch in batches:
+            lists = batch.column(1).to_pylist()
+            out = np.zeros((len(lists), size))
+            for i, words in enumerate(lists):
+                for w in words or ():
+                    slot = slots.get(w)
+                    if slot is None:
+                        if len(slots) > 200_000:
+                            slots.clear()
+                        slot = slots[w] = zlib.crc32(w.encode()) % size
+                    out[i, slot] += 1
+            out /= np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * size, pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["id", "embedding"])
 
-def hashed_documents(df: DataFrame, id_col: str, text: Column, size: int = 768) -> DataFrame:
-    return df.select(id_col, hashed(tokens(text), size).alias("embedding"))
+    kind = kept.schema["id"].dataType.simpleString()
+    return kept.mapInArrow(run, f"id {kind}, embedding array<double>").withColumnRenamed("id", id_col)
 
 
 def encode_texts(df: DataFrame, id_col: str, text: Column, factory: Callable[[], Encoder], size: int, batch_rows: int = 32) -> DataFrame:
@@ -66,7 +77,8 @@ def keyword_vectors(books: DataFrame, vectors: DataFrame, id_col: str = "book_id
 def hashed_keywords(books: DataFrame, size: int = 64, id_col: str = "book_id") -> DataFrame:
     """Keyword vectors by hashing; every distinct keyword is encoded once."""
     distinct = books.select(F.explode("keywords").alias("keyword")).filter(F.trim("keyword") != "").distinct()
-    return keyword_vectors(books, distinct.select("keyword", hashed(tokens(F.col("keyword")), size).alias("vector")), id_col)
+    vectors = hashed_documents(distinct, "keyword", F.col("keyword"), size).withColumnRenamed("embedding", "vector")
+    return keyword_vectors(books, vectors, id_col)
 
 
 def distinct_vectors(books: DataFrame) -> DataFrame:

@@ -7,38 +7,38 @@ TARGET = "(select coalesce(min(book_id), -1) from books where len(embedding) = 1
 _BAD = "x is null or isnan(x) or isinf(x)"
 
 FEATURES = f"""checked as (
-    select *, coalesce(len(embedding) > 0 and len(list_filter(embedding, lambda x: {_BAD})) = 0
+    select *, list_transform(embedding, lambda x: coalesce(x, 0)) as emb,
+        list_transform(keywords_embeddings, lambda v: list_transform(coalesce(v, []), lambda x: coalesce(x, 0))) as ks,
+        coalesce(len(embedding) > 0 and len(list_filter(embedding, lambda x: {_BAD})) = 0
             and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as good,
         coalesce(len(keywords_embeddings) > 0 and len(keywords_embeddings[1]) > 0 and len(list_filter(keywords_embeddings,
             lambda v: v is null or len(v) <> len(keywords_embeddings[1]) or len(list_filter(v, lambda x: {_BAD})) > 0)) = 0, false) as kw_good
     from books
-), means as (
-    select book_id, list_transform(range(1, len(keywords_embeddings[1]) + 1),
-        lambda i: list_sum(list_transform(keywords_embeddings, lambda v: v[i])) / len(keywords_embeddings)) as m
+), means as materialized (
+    select book_id, ks, list_transform(range(1, len(ks[1]) + 1), lambda i: list_sum(list_transform(ks, lambda v: v[i])) / len(ks)) as m
     from checked where kw_good
-), kw as (
+), kw as materialized (
     select book_id, case when list_dot_product(m, m) > 0 then list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) end as kw_mean,
-        list_transform(keywords_embeddings, lambda v: case when list_dot_product(v, v) > 0
-            then list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) else v end) as kw_units
-    from means join checked using (book_id)
-), units as (
-    select book_id, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) as unit from checked where good
-), feat as (
+        list_transform(ks, lambda v: case when list_dot_product(v, v) > 0 then list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) else v end) as kw_units
+    from means
+), units as materialized (
+    select book_id, list_transform(emb, lambda x: x / sqrt(list_dot_product(emb, emb))) as unit from checked where good
+), feat as materialized (
     select c.book_id, c.title, c.rating, c.publication_date, unit, kw_mean, kw_units,
         list_distinct(list_filter(coalesce(c.domain_tags, []), lambda t: t is not null)) as tags
-    from checked c left join units using (book_id) left join kw using (book_id)
+    from books c left join units using (book_id) left join kw using (book_id)
 )"""
 
 
 def _scored(target_filter: str, beta: str = "0.25") -> str:
-    return f"""parts as (
+    return f"""t as materialized (select * from feat where {target_filter}), parts as (
     select f.*, t.book_id as t_id,
         coalesce(case when len(t.unit) = len(f.unit) then list_dot_product(t.unit, f.unit) end, 0) as sem,
         coalesce(case when len(t.kw_mean) = len(f.kw_mean) then list_dot_product(t.kw_mean, f.kw_mean) end, 0) as kw_avg,
         coalesce(case when len(t.kw_units[1]) = len(f.kw_units[1]) then greatest(0, list_max(list_transform(t.kw_units,
             lambda a: list_max(list_transform(f.kw_units, lambda c: list_dot_product(a, c)))))) end, 0) as kw_max,
         len(list_intersect(t.tags, f.tags)) as shared, len(t.tags) = 0 or len(f.tags) = 0 as no_tags
-    from feat f join feat t on f.book_id <> t.book_id where {target_filter}
+    from feat f join t on f.book_id <> t.book_id
 ), blended as (
     select *, 0.4 * kw_avg + 0.6 * kw_max as kws, 0.6 * sem + 0.4 * (0.4 * kw_avg + 0.6 * kw_max) as comb,
         case when no_tags or shared = 0 then 1 when shared = 1 then 1 - {beta} when shared = 2 then 1 - 2 * {beta} else 0 end::double as coef
@@ -51,7 +51,7 @@ def _scored(target_filter: str, beta: str = "0.25") -> str:
 )"""
 
 
-ONE = f"with {FEATURES}, {_scored(f't.book_id = {TARGET}')}"
+ONE = f"with {FEATURES}, {_scored(f'book_id = {TARGET}')}"
 
 
 def _recommend(order: str = "utility_score desc", keep: str = "overlap_coefficient > 0") -> str:
@@ -144,7 +144,7 @@ SQL: dict[str, str] = {
     ), finals as (select beta, book_id, round(combined_similarity * c, 6) as final_score from each_beta where c > 0)
     select beta, book_id, final_score, cast(row_number() over (partition by beta order by final_score desc, book_id) as int) as position
     from finals qualify position <= 6""",
-    "all_books_topk": f"""with {FEATURES}, {_scored("t.book_id % 100 = 0")}
+    "all_books_topk": f"""with {FEATURES}, {_scored("book_id % 100 = 0")}
     select t_id as book_id, book_id as neighbour_id, final_score,
         cast(row_number() over (partition by t_id order by final_score desc, book_id) as int) as position
     from scored where overlap_coefficient > 0 qualify position <= 10""",
@@ -201,6 +201,11 @@ SQL: dict[str, str] = {
     from summed qualify position <= 10""",
     "keyword_summary": """select count(*) as total, round(avg(coalesce(len(keywords), 0)), 4) as mean_keywords,
         count(*) filter (coalesce(len(keywords), 0) = 0) as "without" from books""",
+    "distinct_vectors": "select count(distinct coalesce(cast(keywords_embeddings as varchar), '')) as distinct_vectors from books",
+    "mode_catalogue": """select * from (values ('comprehensive', 'utility_score', 'weighted utility of similarity, rating and recency'),
+        ('similarity', 'similarity_score', 'similarity alone'), ('rating', 'rating', 'readers'' rating'),
+        ('newest', 'publication_date', 'latest publication first'), ('final', 'final_score', 'the retrieval score itself'))
+        as m(mode, orders_by, description)""",
     "window_counts": """select cast(requested_at as date) as window_start, target_book_id, count(*) as n
         from (select distinct on (rec_id, requested_at) * from recommendations where requested_at is not null) group by all""",
 }

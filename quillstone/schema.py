@@ -40,7 +40,7 @@ def decode_list(column: str | Column, element: T.DataType | None = None) -> Colu
     """A list from JSON text; null, empty, malformed, truncated and non-list text give an empty list."""
     kind = T.ArrayType(element or T.StringType())
     text = F.trim(F.col(column) if isinstance(column, str) else column)
-    return F.coalesce(F.when(text.startswith("["), F.from_json(text, kind)), F.array().cast(kind))
+    return F.coalesce(F.when(text.startswith("["), F.from_json(text, kind, {"allowSingleQuotes": "false"})), F.array().cast(kind))
 
 
 def encode_list(column: str | Column) -> Column:
