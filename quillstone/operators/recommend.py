@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from quillstone.config import Scoring
 from quillstone.operators.ranking import rank, with_utility
-from quillstone.operators.similarity import FEATURES, features, overlap_coefficient, prefixed, score_pairs
+from quillstone.operators.similarity import overlap_coefficient
 
 META = ["title", "rating", "publication_date", "cover_image", "publisher", "domain_tags"]
 DIGITS = 6
+ROUNDED = ["semantic_similarity", "keyword_similarity", "combined_similarity", "final_score"]
 
 
 def rounded(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -22,13 +23,57 @@ def rounded(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.round(c, DIGITS) for c in columns})
 
 
+_INPUT = ["book_id", "embedding", "keywords_embeddings", "domain_tags"]
+_SCORES = "semantic_similarity double, keyword_similarity double, sim_avg double, sim_max double, overlap_count int, overlap_coefficient double, combined_similarity double, final_score double"
+
+
+def _unit(v: list | None) -> np.ndarray | None:
+    """The vector at length one; None for a missing one, a null or non-finite number, or zeros."""
+    if not v or None in v:
+        return None
+    out = np.array(v, dtype=np.float64)
+    norm = np.sqrt(out @ out) if np.isfinite(out).all() else 0.0
+    return out / norm if norm > 0 else None
+
+
+def row_features(rows: list[dict]) -> list[dict]:
+    """What pair scores need of books, as NumPy arrays; the rules are those of quillstone.operators.similarity."""
+    found = []
+    for r in rows:
+        m, units, mean = r["keywords_embeddings"], None, None
+        if m and m[0] and all(v is not None and len(v) == len(m[0]) and None not in v for v in m):
+            matrix = np.array(m, dtype=np.float64)
+            if np.isfinite(matrix).all():
+                norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+                units, mean = matrix / np.where(norms > 0, norms, 1.0), _unit(matrix.mean(axis=0).tolist())
+        tags = {t for t in r["domain_tags"] or () if t is not None}
+        found.append({"book_id": r["book_id"], "unit": _unit(r["embedding"]), "kw_mean": mean, "kw_units": units, "tags": tags})
+    return found
+
+
 def candidates(books: DataFrame, target: int | Column, scoring: Scoring = Scoring()) -> DataFrame:
-    """All other books scored against the target (one row, broadcast); empty for an unknown target."""
-    one = books.filter(F.col("book_id") == target)
-    side = prefixed(features(one), "t_").limit(1)
-    pairs = features(books, META).crossJoin(F.broadcast(side)).filter(F.col("book_id") != F.col("t_book_id"))
-    scored = score_pairs(pairs, "t_", "", scoring).drop(*[f"t_{c}" for c in FEATURES], *FEATURES)
-    return rounded(scored, ["semantic_similarity", "keyword_similarity", "combined_similarity", "final_score"])
+    """All other books scored against the target; empty for an unknown target.
+
+    The target is one row and travels with the plan; the catalogue streams through in Arrow batches
+    and each batch is scored by matrix products. There is no join and no shuffle."""
+    kept = list(dict.fromkeys(["book_id", *META]))
+    given = books.select(*kept, "embedding", "keywords_embeddings")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(kept)]) + f", {_SCORES}"
+    found = books.filter(F.col("book_id") == target).select(*_INPUT).head(1)
+    if not found:
+        return rounded(books.sparkSession.createDataFrame([], schema), ROUNDED)
+    one = row_features([r.asDict() for r in found])
+
+    def run(batches):
+        for batch in batches:
+            s = block_scores(one, row_features(batch.select(_INPUT).to_pylist()), scoring)
+            columns = [batch.column(c) for c in kept]
+            values = [s["semantic"][0], s["keyword"][0], s["mean"][0], s["best"][0], s["shared"][0].astype(np.int32), s["coefficient"][0], s["combined"][0], (s["combined"] * s["coefficient"])[0]]
+            names = [x.split()[0] for x in _SCORES.split(", ")]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, values)], names=[*kept, *names])
+
+    others = given.filter(F.col("book_id") != one[0]["book_id"])
+    return rounded(others.mapInArrow(run, schema), ROUNDED)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -87,8 +132,8 @@ _BLOCK = pa.schema([("block", pa.int64()), ("data", pa.binary())])
 def _cosines(a: list, b: list) -> np.ndarray:
     """Inner products of two lists of unit vectors, 0 for missing ones and different lengths."""
     out = np.zeros((len(a), len(b)))
-    for n in {len(v) for v in a if v} & {len(v) for v in b if v}:
-        i, j = ([k for k, v in enumerate(vs) if v and len(v) == n] for vs in (a, b))
+    for n in {len(v) for v in a if v is not None} & {len(v) for v in b if v is not None}:
+        i, j = ([k for k, v in enumerate(vs) if v is not None and len(v) == n] for vs in (a, b))
         out[np.ix_(i, j)] = np.array([a[k] for k in i]) @ np.array([b[k] for k in j]).T
     return out
 
@@ -96,13 +141,13 @@ def _cosines(a: list, b: list) -> np.ndarray:
 def _best_pairs(a: list, b: list) -> np.ndarray:
     """Largest inner product between the vectors of two books, never below 0."""
     out = np.zeros((len(a), len(b)))
-    for n in {len(m[0]) for m in a if m} & {len(m[0]) for m in b if m}:
-        has = [k for k, m in enumerate(b) if m and len(m[0]) == n]
-        units = np.concatenate([np.array(b[k]) for k in has])
+    for n in {m.shape[1] for m in a if m is not None} & {m.shape[1] for m in b if m is not None}:
+        has = [k for k, m in enumerate(b) if m is not None and m.shape[1] == n]
+        units = np.concatenate([b[k] for k in has])
         starts = np.r_[0, np.cumsum([len(b[k]) for k in has])[:-1]]
         for i, m in enumerate(a):
-            if m and len(m[0]) == n:
-                out[i, has] = np.maximum(np.maximum.reduceat((np.array(m) @ units.T).max(axis=0), starts), 0.0)
+            if m is not None and m.shape[1] == n:
+                out[i, has] = np.maximum(np.maximum.reduceat((m @ units.T).max(axis=0), starts), 0.0)
     return out
 
 
@@ -112,11 +157,11 @@ def batch_topk(books: DataFrame, queries: Column, k: int = 10, scoring: Scoring
     A stated query set against all rows, in blocks: query books are packed into blocks, every block
     meets every partition of the catalogue once, scores are matrix products, and only k rows per query
     and partition leave it. Neither side is collected, and no pair is ever a row."""
-    feats = features(books)
+    feats = books.select(*_INPUT)
 
     def packed(batches):
         for batch in batches:
-            rows = batch.to_pylist()
+            rows = row_features(batch.to_pylist())
             for lo in range(0, len(rows), block):
                 some = rows[lo : lo + block]
                 yield pa.RecordBatch.from_pydict({"block": [some[0]["book_id"]], "data": [pickle.dumps(some)]}, schema=_BLOCK)
@@ -136,23 +181,31 @@ def batch_topk(books: DataFrame, queries: Column, k: int = 10, scoring: Scoring
     return best.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
 
 
-def _score_block(queries: list[dict], rows: list[dict], k: int, scoring: Scoring, schema: pa.Schema) -> pa.RecordBatch:
-    ids, q_ids = np.array([r["book_id"] for r in rows]), np.array([r["book_id"] for r in queries])
+def block_scores(queries: list[dict], rows: list[dict], scoring: Scoring) -> dict[str, np.ndarray]:
+    """(queries, rows) matrices of all pair scores."""
     semantic, mean, best = (
         f([r[c] for r in queries], [r[c] for r in rows]) for f, c in ((_cosines, "unit"), (_cosines, "kw_mean"), (_best_pairs, "kw_units"))
     )
-    tags = sorted({t for r in queries + rows for t in r["tags"]})
-    at = {t: i for i, t in enumerate(tags)}
+    at = {t: i for i, t in enumerate(sorted({t for r in queries for t in r["tags"]}))}
+
     def one_hot(some):
-        out = np.zeros((len(some), max(1, len(tags))), np.float32)
+        out = np.zeros((len(some), max(1, len(at))), np.float32)
         for i, r in enumerate(some):
-            out[i, [at[t] for t in r["tags"]]] = 1
+            out[i, [at[t] for t in r["tags"] if t in at]] = 1
         return out
+
     shared = np.rint(one_hot(queries) @ one_hot(rows).T).astype(int)
     coefficient = np.select([shared == 0, shared == 1, shared == 2], [1.0, 1 - scoring.beta, 1 - 2 * scoring.beta], 0.0)
-    combined = scoring.a * semantic + (1 - scoring.a) * (scoring.alpha * mean + (1 - scoring.alpha) * best)
-    final = np.round(np.round(combined * coefficient, 12), DIGITS)
-    final[(coefficient <= 0) | (q_ids[:, None] == ids[None, :])] = -np.inf
+    keyword = scoring.alpha * mean + (1 - scoring.alpha) * best
+    combined = scoring.a * semantic + (1 - scoring.a) * keyword
+    return {"semantic": semantic, "mean": mean, "best": best, "keyword": keyword, "shared": shared, "coefficient": coefficient, "combined": combined}
+
+
+def _score_block(queries: list[dict], rows: list[dict], k: int, scoring: Scoring, schema: pa.Schema) -> pa.RecordBatch:
+    ids, q_ids = np.array([r["book_id"] for r in rows]), np.array([r["book_id"] for r in queries])
+    s = block_scores(queries, rows, scoring)
+    final = np.round(s["combined"] * s["coefficient"], DIGITS)
+    final[(s["coefficient"] <= 0) | (q_ids[:, None] == ids[None, :])] = -np.inf
     out: dict[str, list] = {"book_id": [], "neighbour_id": [], "final_score": []}
     for i in range(len(queries)):
         order = np.lexsort((ids, -final[i]))[:k]
