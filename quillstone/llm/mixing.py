@@ -143,7 +143,10 @@ class Mixer:
 
 def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, rounds: int = 30, rank_file: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, n_tokens, rate, copies) of every document, and the shares reached:
-    (source, target_share, max_repeats, documents, available, tokens, share, expected)."""
+    (source, target_share, max_repeats, documents, available, tokens, share, own_share, expected).
+
+    documents, available and tokens are those of the source's own documents, own_share the share of their
+    tokens; share also counts the tokens of documents without a source, by their posteriors."""
     spark = documents.sparkSession
     wanted = targets.filter("source is not null").groupBy(source_key("source").alias("source"))
     wanted = wanted.agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("cap"))
@@ -181,22 +184,23 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, ro
     belonging = cut(sized.mapInArrow(belong, member_schema), "members")
     matrix = belonging.select("n_tokens", "member")
 
-    def totals(of) -> np.ndarray:
+    def totals(of, rows: DataFrame | None = None) -> np.ndarray:
+        """Tokens per domain at the rates ``of`` memberships (None: one each)."""
         def run(batches):
             out = np.zeros(k)
             for batch in batches:
                 if batch.num_rows:
                     member = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                    out += (of(member) * batch.column(0).to_numpy()) @ member
+                    out += ((of(member) if of else 1.0) * batch.column(0).to_numpy()) @ member
             yield blobs([(0, pack(out))])
 
-        return sum((unpack(bytes(r["blob"]))[0] for r in matrix.mapInArrow(run, BLOB).collect()), np.zeros(k))
+        return sum((unpack(bytes(r["blob"]))[0] for r in (matrix if rows is None else rows).mapInArrow(run, BLOB).collect()), np.zeros(k))
 
     if not k:
         empty = belonging.select("doc_id", "source", "n_tokens", F.lit(0.0).alias("rate"), F.lit(0).alias("copies"))
-        reached = wanted.select("source", F.col("share").alias("target_share"), F.col("cap").alias("max_repeats"), *[F.lit(0).alias(c) for c in ("documents", "available", "tokens")], F.lit(0.0).alias("share"), F.lit(0.0).alias("expected"))
+        reached = wanted.select("source", F.col("share").alias("target_share"), F.col("cap").alias("max_repeats"), *[F.lit(0).alias(c) for c in ("documents", "available", "tokens")], *[F.lit(0.0).alias(c) for c in ("share", "own_share", "expected")])
         return empty, reached
-    sizes = totals(lambda m: np.ones(len(m)))
+    sizes = totals(None)
     there = (sizes > 0) & (share > 0)
     share_there = np.where(there, share, 0.0)
     share_there = share_there / max(share_there.sum(), 1e-12)
@@ -210,7 +214,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, ro
             break
     plan = spark.sparkContext.broadcast(mixer)
 
-    rated_schema = "doc_id long, source string, label int, n_tokens long, rate double, whole int, part double, spot double"
+    rated_schema = "doc_id long, source string, label int, n_tokens long, rate double, whole int, part double, spot double, member array<double>"
 
     def rated(batches):
         for batch in batches:
@@ -219,8 +223,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, ro
             ids = batch.column(0).to_numpy()
             spot = ((ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)) ^ np.uint64(0x94D049BB133111EB)
             spot = ((spot ^ (spot >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(11)) / 2.0**53
-            arrays = [*batch.columns[:4], pa.array(rate), pa.array(np.floor(rate).astype(np.int32)), pa.array(rate - np.floor(rate)), pa.array(spot)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "source", "label", "n_tokens", "rate", "whole", "part", "spot"])
+            arrays = [*batch.columns[:4], pa.array(rate), pa.array(np.floor(rate).astype(np.int32)), pa.array(rate - np.floor(rate)), pa.array(spot), batch.column(4)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "source", "label", "n_tokens", "rate", "whole", "part", "spot", "member"])
 
     chosen = belonging.mapInArrow(rated, rated_schema)
     # tokens by domain and bin of spot: where the extra copies' tokens come nearest to what is missing
@@ -234,24 +238,27 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, ro
     limit = F.broadcast(spark.createDataFrame(limits or [(-2, 0)], "label int, upto int"))
     extra = (F.col("part") > 0) & (F.floor(F.col("spot") * BINS) < F.coalesce("upto", F.lit(0)))
     copies = F.when(F.col("n_tokens") > 0, F.col("whole") + extra.cast("int")).otherwise(0)
-    mixed = cut(chosen.join(limit, "label", "left").select("doc_id", "source", "label", "n_tokens", "rate", copies.alias("copies")), "mixed")
+    mixed = cut(chosen.join(limit, "label", "left").select("doc_id", "source", "label", "n_tokens", "rate", copies.alias("copies"), "member"), "mixed")
 
-    expected = dict(zip(names, (totals(mixer.rates) / max(1e-9, float(totals(mixer.rates).sum()))).tolist(), strict=True))
+    used = mixed.filter("copies > 0").select((F.col("n_tokens") * F.col("copies")).alias("n_tokens"), "member")
+    soft_shares, own_fit = (x / max(1e-9, float(x.sum())) for x in (totals(None, used), totals(mixer.rates)))
+    numbers = [(n, float(s), float(e)) for n, s, e in zip(names, soft_shares, own_fit, strict=True)]
+    numbers = spark.createDataFrame(numbers, "source string, reached double, expected double")
     got = mixed.filter("label >= 0").groupBy("source").agg(
         F.count("*").alias("documents"), F.sum("n_tokens").alias("available"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens")
     )
     whole = got.agg(F.greatest(F.sum("tokens"), F.lit(1)).alias("all"))
-    expectation = spark.createDataFrame(list(expected.items()), "source string, expected double")
     reached = (
         wanted.join(got, "source", "left")
-        .join(F.broadcast(expectation), "source")
+        .join(F.broadcast(numbers), "source")
         .crossJoin(F.broadcast(whole))
         .select(
             "source",
             F.col("share").alias("target_share"),
             F.col("cap").alias("max_repeats"),
             *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "available", "tokens")],
-            F.round(F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)), 6).alias("share"),
+            F.round("reached", 6).alias("share"),
+            F.round(F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)), 6).alias("own_share"),
             F.round("expected", 6).alias("expected"),
         )
     )

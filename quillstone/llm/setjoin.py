@@ -139,7 +139,7 @@ def candidate_pairs(sets: DataFrame, plan: Plan) -> DataFrame:
         order = np.argsort(low, kind="stable")
         ids, codes, low = ids[order], codes[order], low[order]
         bucket = np.concatenate([[0], np.cumsum(np.bincount(low, minlength=1 << free))])
-        found = []
+        found = [np.empty((2, 0), np.int64)]
         for mask in masks:
             if mask:
                 other = low ^ mask
