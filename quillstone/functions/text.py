@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,16 @@ def tokens(text: Column) -> Column:
     return F.concat(words, pieces)
 
 
+_KEPT, _WORDS, _RUNS = re.compile(KEPT, re.ASCII), re.compile("[a-z0-9]+"), re.compile("[一-龥]+")
+
+
+def split_tokens(text: str | None) -> list[str]:
+    """The same tokens for code that already runs in Python."""
+    plain = _KEPT.sub(" ", text or "").lower()
+    pieces = (r if len(r) < 3 else [r[i : i + 2] for i in range(len(r) - 1)] for r in _RUNS.findall(plain))
+    return _WORDS.findall(plain) + [p for r in pieces for p in ([r] if isinstance(r, str) else r)]
+
+
 def is_term(word: Column) -> Column:
     """At least two characters and not all digits."""
     return (F.length(word) > 1) & ~word.rlike("^[0-9]+$")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import tokens
+from quillstone.functions.text import split_tokens
 
 Encoder = Callable[[list[str]], list[list[float]]]
 
@@ -22,7 +22,7 @@ Encoder = Callable[[list[str]], list[list[float]]]
 def hashed_documents(df: DataFrame, id_col: str, text: Column, size: int = 768) -> DataFrame:
     """(id, embedding): word counts at length one, every word in the slot of its checksum modulo the size;
     zeros for a text without words."""
-    kept = df.select(F.col(id_col).alias("id"), tokens(text).alias("words"))
+    kept = df.select(F.col(id_col).alias("id"), text.alias("text"))
 
     def run(batches):
         slots: dict[str, int] = {}
@@ -30,7 +30,7 @@ def hashed_documents(df: DataFrame, id_col: str, text: Column, size: int = 768)
             lists = batch.column(1).to_pylist()
             out = np.zeros((len(lists), size))
             for i, words in enumerate(lists):
-                for w in words or ():
+                for w in split_tokens(words):
                     slot = slots.get(w)
                     if slot is None:
                         if len(slots) > 200_000:

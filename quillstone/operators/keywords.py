@@ -8,17 +8,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import is_term, tokens
+from quillstone.functions.text import is_term, split_tokens
 
 _RANKED = pa.schema([("id", pa.int64()), ("term", pa.string()), ("score", pa.float64()), ("position", pa.int32())])
 
 
+_TF = pa.schema([("id", pa.int64()), ("term", pa.string()), ("tf", pa.int64())])
+
+
+def _stop_set(stop_words: DataFrame | None) -> set[str]:
+    """The stop words as a set: a short side input that travels with the plan."""
+    return set() if stop_words is None else {r["word"].strip().lower() for r in stop_words.select("word").filter("word is not null").collect()}
+
+
 def terms(df: DataFrame, id_col: str, text: Column, stop_words: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf) of every record; tokens of one character count here, as in the vectoriser's input."""
-    words = df.select(F.col(id_col).alias("id"), F.explode(tokens(text)).alias("term")).filter(F.length("term") > 1)
-    if stop_words is not None:
-        words = words.join(F.broadcast(stop_words.select(F.lower(F.trim("word")).alias("term")).distinct()), "term", "left_anti")
-    return words.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf) of every record; tokens of one character do not count.
+
+    A record's counts come from its own text, so they are final where the record lies: no shuffle."""
+    stop = _stop_set(stop_words)
+
+    def run(batches):
+        for batch in batches:
+            out: dict[str, list] = {f.name: [] for f in _TF}
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for w, n in Counter(split_tokens(t)).items():
+                    if len(w) > 1 and w not in stop:
+                        out["id"].append(i)
+                        out["term"].append(w)
+                        out["tf"].append(n)
+            yield pa.RecordBatch.from_pydict(out, schema=_TF)
+
+    return df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(run, "id long, term string, tf long")
 
 
 def tfidf(tf: DataFrame, documents: DataFrame, min_df: int = 2, max_df: float = 0.85, max_features: int = 5_000) -> DataFrame:
@@ -86,13 +106,13 @@ def textrank(df: DataFrame, id_col: str, text: Column, k: int, stop_words: DataF
     """(id, term, score, position): the k best cleaned terms of each record's own word graph, out of 2k; ties by term.
 
     One record's graph is bounded by its text, so it is ranked where the record lies, without a shuffle."""
-    stop = {r["word"].strip().lower() for r in stop_words.select("word").filter("word is not null").collect()} if stop_words is not None else set()
+    stop = _stop_set(stop_words)
 
     def run(batches):
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in _RANKED}
-            for i, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kept = [w for w in words or () if len(w) > 1 and w not in stop]
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                kept = [w for w in split_tokens(t) if len(w) > 1 and w not in stop]
                 ranked = sorted(((-round(s, 6), w) for w, s in rank_graph(kept).items()))[: 2 * k]
                 for position, (s, w) in enumerate([x for x in ranked if not x[1].isdigit()][:k], 1):
                     out["id"].append(i)
@@ -101,7 +121,7 @@ def textrank(df: DataFrame, id_col: str, text: Column, k: int, stop_words: DataF
                     out["position"].append(position)
             yield pa.RecordBatch.from_pydict(out, schema=_RANKED)
 
-    kept = df.select(F.col(id_col).cast("long").alias("id"), tokens(text).alias("words"))
+    kept = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     return kept.mapInArrow(run, "id long, term string, score double, position int")
 
 

@@ -41,14 +41,14 @@ def read_books(spark: SparkSession, kind: str = "parquet", options: dict[str, st
         return canonical(reader.format(kind).load(path))
     if kind in DATABASES:
         given = _options(options)
-        if partitions and "lowerBound" not in given:
-            inner = given["dbtable"]
-            bounds = spark.read.format("jdbc").options(**(given | {"dbtable": f"(select min(book_id) as lo, max(book_id) as hi from {inner}) b"})).load().first()
-            lo, hi = (0 if v is None else int(v) for v in bounds)
-            given |= {"lowerBound": str(lo), "upperBound": str(hi + 1)}
-        if partitions:
-            given |= {"partitionColumn": "book_id", "numPartitions": str(partitions)}
         loaded = spark.read.format("jdbc").options(**given).load()
+        if partitions:
+            key = next(c for c in loaded.columns if c.lower() == "book_id")
+            if "lowerBound" not in given:
+                lo, hi = loaded.agg(F.min(key), F.max(key)).first()
+                given |= {"lowerBound": str(lo or 0), "upperBound": str((hi or 0) + 1)}
+            given |= {"partitionColumn": key, "numPartitions": str(partitions)}
+            loaded = spark.read.format("jdbc").options(**given).load()
         return canonical(loaded.toDF(*[c.lower() for c in loaded.columns]))
     if kind == "mongodb":
         return canonical(spark.read.format("mongodb").options(**_options(options)).load().drop("_id"))
