@@ -247,7 +247,7 @@ def trained(docs: list[list[str]], labels: list[bool], corpus_share: float) -> M
     return models
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most_labelled: int = 50_000) -> DataFrame:
+def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most_labelled: int = 10_000) -> DataFrame:
     """(id, score, toxic) of every document; score is null where there is nothing to score."""
     spark = documents.sparkSession
     votes = (
