@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.arrow import batch_of
+from quillstone.llm.arrow import batch_of, partitions_for
 from quillstone.storage import cut
 
 # Words around a name that are not part of it.
@@ -206,7 +206,9 @@ def neighbours(keys: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["a", "b", "x", "y"])
 
     shards = keys.select("key", "script").mapInArrow(shard, "shard string, key string")
-    return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(join, "a string, b string, x string, y string").distinct()
+    # a fixed number of partitions: the rows are few bytes and much work, so they must not be merged
+    partitions = partitions_for(keys.sparkSession, 0)
+    return shards.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(join, "a string, b string, x string, y string").distinct()
 
 
 def spellings(df: DataFrame, names: str) -> DataFrame:
