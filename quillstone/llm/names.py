@@ -87,14 +87,17 @@ def parse(name: str) -> dict[str, str] | None:
     text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     parts = [[t for t in re.split(r"[^\w.]+", p) if t.strip("._")] for p in text.split(",")]
     parts = [p for p in parts if p]
-    while len(parts) > 1 and all(t.lower().replace(".", "") in AFTER for t in parts[-1]):
+    # "Name, PhD" has a name of two words before the comma; "Name, Ed" has a given name after it
+    while len(parts) > 1 and sum(map(len, parts[:-1])) > 1 and all(t.lower().replace(".", "") in AFTER for t in parts[-1]):
         parts.pop()
     raw = [t for p in reversed(parts) for t in p] if len(parts) == 2 else [t for p in parts for t in p]
     # "B.J." is two initials, "M.A." after the name a degree
     raw = [x for t in raw for x in (t.split(".") if re.fullmatch(r"(\w\.)+\w?\.?", t) else [t]) if x]
+    if len(raw) == 1:  # "AnthonyNumofovik"
+        raw = re.sub(r"(?<=[^\W\d_A-Z])(?=[A-Z])", " ", raw[0]).split()
     while len(raw) > 1 and raw[0].lower().strip(".") in BEFORE:
         raw = raw[1:]
-    while len(raw) > 1 and raw[-1].lower().strip(".") in AFTER:
+    while len(raw) > 2 and raw[-1].lower().strip(".") in AFTER:
         raw = raw[:-1]
     tokens = [t.lower().replace(".", "") for t in raw]
     dotted = [t.endswith(".") and len(t) > 3 for t in raw]
@@ -268,6 +271,37 @@ def roots_by_distance(named: DataFrame) -> DataFrame:
     return step.select("key", "root")
 
 
+def usual_names(leads: DataFrame) -> dict[str, list[str]]:
+    """Given names of at least one family in 200, so at most 200 of a script."""
+    counts = leads.groupBy("script", "given").agg(F.count("*").alias("families"))
+    total = leads.groupBy("script").agg(F.count("*").alias("all"))
+    rows = counts.join(F.broadcast(total), "script").filter("families >= greatest(3, 0.005 * all)").select("script", "given").collect()
+    found: dict[str, list[str]] = {}
+    for r in sorted(rows):
+        found.setdefault(r["script"], []).append(r["given"])
+    return found
+
+
+def misspelt(givens: DataFrame, usual: dict[str, list[str]]) -> DataFrame:
+    """(script, given, meant): rare Latin given names of five letters or more within one edit of a single usual one."""
+    schema = pa.schema([(c, pa.string()) for c in ("script", "given", "meant")])
+
+    def run(batches):
+        known = set(usual.get("la", ()))
+        trie = Trie(sorted(known))
+        for batch in batches:
+            out: dict[str, list] = {"script": [], "given": [], "meant": []}
+            for script, given in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                near = trie.within(given) if script == "la" and len(given) > 4 and given not in known else []
+                if len(near) == 1:
+                    out["script"].append(script)
+                    out["given"].append(given)
+                    out["meant"].append(near[0])
+            yield batch_of(out, schema)
+
+    return givens.filter("given not in ('')").mapInArrow(run, "script string, given string, meant string")
+
+
 def variant_groups(df: DataFrame, names: str) -> DataFrame:
     """(name, entity): the entity of every distinct spelling, named by one of its keys."""
     named = cut(spellings(df, names), "spellings")
@@ -277,6 +311,10 @@ def variant_groups(df: DataFrame, names: str) -> DataFrame:
     # given names by the root's own parts, so that an error is not a second person of the family
     leads = full.filter("key = root").select("script", "given", "family", "root").distinct()
     leads = cut(leads, "leads")
+    usual = usual_names(leads)
+    errors = cut(misspelt(leads.select("script", "given").distinct(), usual), "given-errors")
+    leads = leads.join(errors, ["script", "given"], "left").select("script", F.coalesce("meant", "given").alias("given"), "family", "root").distinct()
+    leads = cut(leads, "meant-leads")
     usage = leads.groupBy("script", "given").agg(F.count("*").alias("families"))
     total = leads.groupBy("script").agg(F.count("*").alias("all"))
     usage = cut(usage.join(F.broadcast(total), "script").withColumn("usual", F.expr("families >= greatest(3, 0.005 * all)")), "given-usage")
@@ -299,7 +337,15 @@ def variant_groups(df: DataFrame, names: str) -> DataFrame:
         .filter("lead = other and lead <> root")
         .select("root", "lead")
     )
-    nicks = cut(nicks, "nicknames")
+    # a nickname and an error in the family name: the formal key is looked for within one edit
+    formal_key = leads.join(nick, ["script", "given"]).join(nicks.select("root"), "root", "left_anti")
+    formal_key = cut(formal_key.select("root", "script", F.concat("formal", "family").alias("formal_key")).filter("length(formal_key) >= 8"), "formal-keys")
+    there = full.select("key", "script", F.col("root").alias("lead")).distinct()
+    near = neighbours(there.select("key", "script").unionByName(formal_key.select(F.col("formal_key").alias("key"), "script")).distinct())
+    near = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = near.join(formal_key, F.col("a") == F.col("formal_key")).join(there.select(F.col("key").alias("b"), "lead"), "b").select("root", "lead")
+    near = near.filter("lead <> root").groupBy("root").agg(F.min("lead").alias("lead"), F.max("lead").alias("other")).filter("lead = other")
+    nicks = cut(nicks.unionByName(near.select("root", "lead")), "nicknames")
     people = leads.join(nicks.select("root"), "root", "left_anti")
 
     # initials: Latin names by their first letter; others by the letters the corpus shows for a given name
@@ -309,7 +355,8 @@ def variant_groups(df: DataFrame, names: str) -> DataFrame:
     shown = shown.withColumn("all", F.sum("both").over(Window.partitionBy("script", "given")))
     letters = shown.filter("both >= 3 and both >= 0.15 * all").select("script", F.col("given").alias("letter"), F.col("formal").alias("given"))
     letters = cut(letters, "letters")
-    lettered = people.filter("script = 'la'").select("script", "family", "root", F.substring("given", 1, 1).alias("letter"))
+    lettered = people.filter("script = 'la'").join(nick, ["script", "given"], "left")
+    lettered = lettered.select("script", "family", "root", F.substring(F.coalesce("formal", "given"), 1, 1).alias("letter")).distinct()
     lettered = lettered.unionByName(people.join(F.broadcast(letters), ["script", "given"]).select("script", "family", "root", "letter"))
     lettered = lettered.groupBy("script", "family", "letter").agg(F.min("root").alias("lead"), F.max("root").alias("other")).filter("lead = other")
     by_letter = initial.withColumnRenamed("given", "letter").join(lettered, ["script", "family", "letter"]).select("root", "lead")
