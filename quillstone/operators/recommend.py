@@ -27,27 +27,42 @@ _INPUT = ["book_id", "embedding", "keywords_embeddings", "domain_tags"]
 _SCORES = "semantic_similarity double, keyword_similarity double, sim_avg double, sim_max double, overlap_count int, overlap_coefficient double, combined_similarity double, final_score double"
 
 
-def _unit(v: list | None) -> np.ndarray | None:
-    """The vector at length one; None for a missing one, a null or non-finite number, or zeros."""
-    if not v or None in v:
-        return None
-    out = np.array(v, dtype=np.float64)
-    norm = np.sqrt(out @ out) if np.isfinite(out).all() else 0.0
-    return out / norm if norm > 0 else None
-
-
-def row_features(rows: list[dict]) -> list[dict]:
-    """What pair scores need of books, as NumPy arrays; the rules are those of quillstone.operators.similarity."""
+def _unit(v: np.ndarray) -> np.ndarray | None:
+    """The vector at length one; None for an empty one, a non-finite number, or zeros."""
+    norm = np.sqrt(v @ v) if len(v) and np.isfinite(v).all() else 0.0
+    return v / norm if norm > 0 else None
+
+
+def _spans(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last position of every list in the values; a null list is empty."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    start, stop = offsets[:-1], offsets[1:].copy()
+    missing = lists.is_null().to_numpy(zero_copy_only=False)
+    stop[missing] = start[missing]
+    return start, stop
+
+
+def batch_features(batch: pa.RecordBatch) -> list[dict]:
+    """What pair scores need of the books of a batch of _INPUT, as NumPy arrays read from its buffers (a
+    null number is NaN); the rules are those of quillstone.operators.similarity."""
+    vectors, matrices = batch.column(1), batch.column(2)
+    numbers = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    inner = matrices.values
+    inner_numbers = inner.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    (v0, v1), (m0, m1), (i0, i1) = _spans(vectors), _spans(matrices), _spans(inner)
     found = []
-    for r in rows:
-        m, units, mean = r["keywords_embeddings"], None, None
-        if m and m[0] and all(v is not None and len(v) == len(m[0]) and None not in v for v in m):
-            matrix = np.array(m, dtype=np.float64)
-            if np.isfinite(matrix).all():
-                norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-                units, mean = matrix / np.where(norms > 0, norms, 1.0), _unit(matrix.mean(axis=0).tolist())
-        tags = {t for t in r["domain_tags"] or () if t is not None}
-        found.append({"book_id": r["book_id"], "unit": _unit(r["embedding"]), "kw_mean": mean, "kw_units": units, "tags": tags})
+    for k, (book_id, tags) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+        units = mean = None
+        first, last = m0[k], m1[k]
+        if last > first:
+            sizes = i1[first:last] - i0[first:last]
+            if sizes[0] > 0 and (sizes == sizes[0]).all():
+                matrix = inner_numbers[i0[first] : i1[last - 1]].reshape(len(sizes), -1)
+                if np.isfinite(matrix).all():
+                    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+                    units, mean = matrix / np.where(norms > 0, norms, 1.0), _unit(matrix.mean(axis=0))
+        own = {t for t in tags or () if t is not None}
+        found.append({"book_id": book_id, "unit": _unit(numbers[v0[k] : v1[k]]), "kw_mean": mean, "kw_units": units, "tags": own})
     return found
 
 
@@ -59,14 +74,14 @@ def candidates(books: DataFrame, target: int | Column, scoring: Scoring = Scorin
     kept = list(dict.fromkeys(["book_id", *META]))
     given = books.select(*kept, "embedding", "keywords_embeddings")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(kept)]) + f", {_SCORES}"
-    found = books.filter(F.col("book_id") == target).select(*_INPUT).head(1)
-    if not found:
+    found = books.filter(F.col("book_id") == target).select(*_INPUT).limit(1).toArrow()
+    if not found.num_rows:
         return rounded(books.sparkSession.createDataFrame([], schema), ROUNDED)
-    one = row_features([r.asDict() for r in found])
+    one = batch_features(found.combine_chunks().to_batches()[0])
 
     def run(batches):
         for batch in batches:
-            s = block_scores(one, row_features(batch.select(_INPUT).to_pylist()), scoring)
+            s = block_scores(one, batch_features(batch.select(_INPUT)), scoring)
             columns = [batch.column(c) for c in kept]
             values = [s["semantic"][0], s["keyword"][0], s["mean"][0], s["best"][0], s["shared"][0].astype(np.int32), s["coefficient"][0], s["combined"][0], (s["combined"] * s["coefficient"])[0]]
             names = [x.split()[0] for x in _SCORES.split(", ")]
@@ -161,7 +176,7 @@ def batch_topk(books: DataFrame, queries: Column, k: int = 10, scoring: Scoring
 
     def packed(batches):
         for batch in batches:
-            rows = row_features(batch.to_pylist())
+            rows = batch_features(batch)
             for lo in range(0, len(rows), block):
                 some = rows[lo : lo + block]
                 yield pa.RecordBatch.from_pydict({"block": [some[0]["book_id"]], "data": [pickle.dumps(some)]}, schema=_BLOCK)
