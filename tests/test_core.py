@@ -11,7 +11,7 @@ from quillstone.operators import catalog, keywords, ranking, recommend, similari
 from quillstone.operators.embeddings import encode_texts, hashed_documents
 from quillstone.plans.pipeline import enrich, run_summary
 from quillstone.schema import BOOKS, canonical, decode_list
-from quillstone.sources.books import create_table, append, read_books, sample_books, updated, verify_load, write_books
+from quillstone.sources.books import append, create_table, read_books, sample_books, updated, verify_load, write_books
 from quillstone.streaming.enrich import read_new_books, requests_per_window, tag_stream
 
 
@@ -218,8 +218,7 @@ def test_streams(spark, tmp_path):
     assert sorted(r["n"] for r in requests_per_window(rows, "1 day").collect()) == [1, 1]
 
 
-def test_tables(spark, tmp_path):
-    spark.conf.set("spark.sql.warehouse.dir", str(tmp_path))
+def test_tables(spark):
     create_table(spark, "quill_books")
     try:
         append(sample_books(spark, 3), "quill_books")
