@@ -1,11 +1,14 @@
 """Variant spellings of names typed by people.
 
 Method: trie join. Every distinct spelling is reduced to a key: titles, roles, brackets, accents,
-case, separators and middle initials go, and the tokens are put in one order ("family, given" is
-turned round), so spellings that differ in these only share a key. Keys are then sharded by what
+case, separators and middle initials go, and the tokens are put in one order, so spellings that
+differ in these only share a key: "family, given" and "family I" are turned round as they stand,
+and a person of two words without a comma is checked in both orders, the corpus showing on which
+side its words are families and given names. Keys are then sharded by what
 two keys within one edit must have in common (two of their three parts); each shard's keys form a
 trie, which is traversed with a Levenshtein automaton (with transpositions) to enumerate neighbours
-within distance one. A key follows its best-supported neighbour.
+within distance one; an initial is never taken for another one's error. A key follows its
+best-supported neighbour.
 
 What is left are forms that no small distance reaches; they are looked up under the same family
 name, where relatives are told apart: a nickname stands for a given name of the fixed table or for
@@ -55,14 +58,15 @@ NICKNAMES = {
 _BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|【[^【】]*】|〔[^〔〕]*〕")
 _CJK = re.compile(r"[㐀-鿿豈-﫿]")
 _SPLIT = re.compile(r"[\W_]+")
-_PARSED = pa.schema([(c, pa.string()) for c in ("name", "key", "script", "given", "family", "place", "letters", "words")])
+_PARSED = pa.schema([(c, pa.string()) for c in ("name", "key", "script", "given", "family", "place", "letters", "words", "turned")])
 
 
 def parse(name: str) -> dict[str, str] | None:
     """Key and parts of a spelling; None if nothing is left of it.
 
     given and family are set for what looks like a person (given may be one letter, or empty for a
-    family name alone), place, letters and words for what looks like a body of several words."""
+    family name alone), place, letters and words for what looks like a body of several words. turned
+    is the key in the other order of given and family, empty where the spelling shows the order."""
     text = unicodedata.normalize("NFKC", name).strip()
     bare = _BRACKETS.sub(" ", text).strip()
     text = bare if _SPLIT.sub("", bare) else text
@@ -78,9 +82,13 @@ def parse(name: str) -> dict[str, str] | None:
         tokens = [t.lower() for t in _SPLIT.split(text) if t]
         if not tokens:
             return None
-        out = {"key": "".join(tokens), "script": "zh", "given": "", "family": "", "place": "", "letters": "", "words": ""}
-        if len(tokens) == 2 and _CJK.search(tokens[1]) and "《" not in text:
+        out = {"key": "".join(tokens), "script": "zh", "given": "", "family": "", "place": "", "letters": "", "words": "", "turned": ""}
+        if len(tokens) == 2 and re.fullmatch("[a-z]", tokens[1]) and len(halves) != 2 and "《" not in text:
+            out |= {"key": tokens[1] + tokens[0], "given": tokens[1], "family": tokens[0]}
+        elif len(tokens) == 2 and _CJK.search(tokens[1]) and "《" not in text:
             out |= {"given": tokens[0], "family": tokens[1]}
+            if len(halves) != 2 and _CJK.search(tokens[0]) and tokens[0] != tokens[1]:
+                out["turned"] = tokens[1] + tokens[0]
         elif len(tokens) == 1 and len(tokens[0]) <= 4 and "《" not in text:
             out["family"] = tokens[0]
         return out
@@ -103,10 +111,14 @@ def parse(name: str) -> dict[str, str] | None:
     dotted = [t.endswith(".") and len(t) > 3 for t in raw]
     if not any(tokens):
         return None
-    out = {"key": "".join(tokens), "script": "la", "given": "", "family": "", "place": "", "letters": "", "words": ""}
+    out = {"key": "".join(tokens), "script": "la", "given": "", "family": "", "place": "", "letters": "", "words": "", "turned": ""}
     rest = [t for t in tokens[1:] if len(t) > 1]
     if len(tokens) > 1 and len(rest) == 1 and not any(dotted):
         out |= {"key": tokens[0] + rest[0], "given": tokens[0], "family": rest[0]}
+        if len(parts) != 2 and len(tokens[0]) > 1 and tokens[0] != rest[0]:
+            out["turned"] = rest[0] + tokens[0]
+    elif 1 < len(tokens) < 4 and len(tokens[0]) > 1 and not rest and tokens[1] and len(parts) != 2:  # "Numofovik A"
+        out |= {"key": tokens[1] + tokens[0], "given": tokens[1], "family": tokens[0]}
     elif len(tokens) == 1:
         out["family"] = tokens[0]
     elif len(tokens) > 2:
@@ -215,7 +227,7 @@ def neighbours(keys: DataFrame) -> DataFrame:
 
 
 def spellings(df: DataFrame, names: str) -> DataFrame:
-    """(name, n, key, script, given, family, place, letters, words) of every distinct spelling."""
+    """(name, n, key, script, given, family, place, letters, words, turned) of every distinct spelling."""
     counted = df.select(F.explode(names).alias("name")).filter(F.trim("name") != "").groupBy("name").agg(F.count("*").alias("n"))
 
     def run(batches):
@@ -234,13 +246,52 @@ def spellings(df: DataFrame, names: str) -> DataFrame:
     return counted.mapInArrow(run, "n long, " + ", ".join(f"{f.name} string" for f in _PARSED))
 
 
+def in_one_order(named: DataFrame) -> DataFrame:
+    """``named`` without turned: persons typed with the family name first get the key and parts of the other order.
+
+    Each order is as likely as the product of its words' uses on that side in other names; a name is turned
+    where the other order is more than twice as likely. Where the corpus does not tell, a spelling follows the
+    same two words in the other order, if they are there, unless all four uses occur: then both are persons."""
+    persons = named.filter("family <> '' and given <> ''")
+    orders = persons.groupBy("script", "given", "family").agg(
+        F.first("key").alias("key"), F.max("turned").alias("turned"), F.bool_or(F.col("turned") == "").alias("certain"), F.sum("n").alias("n")
+    )
+    orders = cut(orders, "name-orders")
+    alone = named.filter("family <> '' and given = ''").select("script", F.col("family").alias("word")).distinct()
+    sides = (
+        orders.select("script", F.col("family").alias("word"), F.lit(1).alias("f"), F.lit(0).alias("g"))
+        .unionByName(alone.select("script", "word", F.lit(1).alias("f"), F.lit(0).alias("g")))
+        .unionByName(orders.select("script", F.col("given").alias("word"), F.lit(0).alias("f"), F.lit(1).alias("g")))
+        .groupBy("script", "word")
+        .agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
+    )
+    sides = cut(sides, "name-sides")
+    twin = orders.select("script", F.col("given").alias("family"), F.col("family").alias("given"), F.struct("certain", "n", "key").alias("twin"))
+    first = sides.select("script", F.col("word").alias("given"), F.col("f").alias("fx"), F.col("g").alias("gx"))
+    second = sides.select("script", F.col("word").alias("family"), F.col("f").alias("fy"), F.col("g").alias("gy"))
+    judged = orders.filter("turned <> '' and not certain").join(twin, ["script", "given", "family"], "left").join(first, ["script", "given"]).join(second, ["script", "family"])
+    # the name itself and the one in the other order are no evidence
+    judged = judged.withColumn("t", F.col("twin").isNotNull().cast("long")).selectExpr(
+        "*", "(gx - 1 + 0.5) * (fy - 1 + 0.5) as typed", "(gy - t + 0.5) * (fx - t + 0.5) as other", "gx > 1 and fy > 1 and gy > t and fx > t as both"
+    )
+    told = F.expr("other > 2 * typed")
+    untold = F.expr("twin is not null and typed <= 2 * other and (twin.certain or not both and struct(twin.n, twin.key) > struct(n, key))")
+    turned = judged.filter(told | untold).select("script", "given", "family", F.lit(True).alias("turn"))
+    joined = named.join(turned, ["script", "given", "family"], "left").withColumn("turn", F.expr("turn is not null and turned <> ''"))
+    pick = lambda a, b: F.when(F.col("turn"), F.col(b)).otherwise(F.col(a)).alias(a)
+    return joined.select("name", "n", pick("key", "turned"), "script", pick("given", "family"), pick("family", "given"), "place", "letters", "words")
+
+
 def roots_by_distance(named: DataFrame) -> DataFrame:
     """(key, root): each key with the best-supported key within one edit, itself if it is that.
 
     In a script of many characters two different names are often one character apart; there a
     substitution counts as an error only if one of the two characters is rare against the other."""
     keys = cut(
-        named.groupBy("key").agg(F.first("script").alias("script"), F.count("*").alias("forms"), F.sum("n").alias("n")), "name-keys"
+        named.groupBy("key").agg(
+            F.first("script").alias("script"), F.count("*").alias("forms"), F.sum("n").alias("n"), F.max(F.when(F.expr("given rlike '^[a-z]$'"), F.col("given")).otherwise("")).alias("initial")
+        ),
+        "name-keys",
     )
     chars = (
         keys.filter("script = 'zh'").select(F.explode(F.split("key", "")).alias("c")).filter("c <> ''").groupBy("c").agg(F.count("*").alias("f"))
@@ -253,10 +304,12 @@ def roots_by_distance(named: DataFrame) -> DataFrame:
         .select("a", "b", F.coalesce(F.col("fx") - F.col("fy"), F.lit(0)).alias("usual"))
     )
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("usual")).alias("usual")))
-    support = keys.select("key", "forms", "n")
+    support = keys.select("key", "forms", "n", "initial")
     ranked = (
-        both.join(support.select(F.col("key").alias("a"), F.col("forms").alias("fa"), F.col("n").alias("na")), "a")
-        .join(support.select(F.col("key").alias("b"), F.col("forms").alias("fb"), F.col("n").alias("nb")), "b")
+        both.join(support.select(F.col("key").alias("a"), F.col("forms").alias("fa"), F.col("n").alias("na"), F.col("initial").alias("ia")), "a")
+        .join(support.select(F.col("key").alias("b"), F.col("forms").alias("fb"), F.col("n").alias("nb"), F.col("initial").alias("ib")), "b")
+        # "W. Ohm" is not "H. Ohm", nor "Ohm" with an error
+        .filter("ia = ib")
         # the spelling with the usual character, then with more forms, then with more uses leads
         .filter("struct(-usual, fb, nb, b) > struct(0L, fa, na, a) and (usual <= 0)")
         .groupBy("a")
@@ -304,7 +357,7 @@ def misspelt(givens: DataFrame, usual: dict[str, list[str]]) -> DataFrame:
 
 def variant_groups(df: DataFrame, names: str) -> DataFrame:
     """(name, entity): the entity of every distinct spelling, named by one of its keys."""
-    named = cut(spellings(df, names), "spellings")
+    named = cut(in_one_order(cut(spellings(df, names), "spellings")), "ordered")
     rooted = cut(named.join(roots_by_distance(named), "key"), "rooted")
     persons = rooted.filter("family <> '' and given <> ''")
     full = persons.filter("length(given) > 1 or (script = 'zh' and not given rlike '^[a-z]$')")

@@ -132,6 +132,27 @@ def test_name_variants(books):
     assert names.variant_pairs(books([]), "authors").count() == 0
 
 
+def test_name_token_order(books):
+    groups = [
+        ["Alexandra Jastaroth", "JASTAROTH Alexandra", "Jastaroth Alexandra", "Jastaroth, A."],
+        ["Zora Trufloresk", "Trufloresk Z", "Trufloresk Z.N."],
+        ["Alexandra Trufloresk"],
+        ["Robert Lohaplesk"],
+        ["William Lohaplesk", "Lohaplesk W"],
+        ["Lohaplesk H"],
+        ["伊尔莎·内格法基", "内格法基 伊尔莎"],
+        ["伊尔莎·多勒", "多勒，伊尔莎"],
+    ]
+    rows = [{"book_id": i, "authors": [n]} for i, n in enumerate(n for g in groups for n in g)]
+    want = {tuple(sorted(p)) for g in groups for p in combinations(g, 2)}
+    assert pairs_of(names.variant_pairs(books(rows), "authors")) == want
+    both = ["James Thomas", "Thomas James", "James Brook", "Thomas Brook", "Zora James", "Zora Thomas"]
+    rows = [{"book_id": i, "authors": [n]} for i, n in enumerate(both)]
+    assert names.variant_pairs(books(rows), "authors").count() == 0
+    rows = [{"book_id": i, "authors": [n]} for i, n in enumerate(["Foo Barley", "BARLEY Foo"])]
+    assert pairs_of(names.variant_pairs(books(rows), "authors")) == {("BARLEY Foo", "Foo Barley")}
+
+
 # distinctive terms
 
 
