@@ -73,6 +73,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("record").alias("book_id"), F.col("neighbour").alias("neighbour_id"))
 
 
+def p6_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar other keyword vectors of every usable keyword vector, each by its book and its position from 0."""
+    found = vectors.nearest_listed(table(spark, sf_dir, "books"), "book_id", "keywords_embeddings", 64)
+    return found.select(
+        F.col("record").alias("book_id"), "position", F.col("neighbour").alias("neighbour_id"), "neighbour_position", F.round("similarity", 9).alias("similarity")
+    )
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, members = setjoin.similar_sets(table(spark, sf_dir, "books"), "book_id", "keywords", "domain_tags", 3)
     return setjoin.expanded(pairs, members).select(F.col("a").alias("book_a"), F.col("b").alias("book_b"))
@@ -119,6 +127,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_top_terms": p5_top_terms,
     "p6_found": p6_found,
+    "p6_keywords": p6_keywords,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import abuse, distinctive, encode, mixing, names, neardup, ranking, setjoin, subjects, vectors
+from quillstone.llm import abuse, distinctive, encode, mixing, names, neardup, queries, ranking, setjoin, subjects, vectors
 
 
 def pairs_of(df, a="a", b="b"):
@@ -204,6 +204,26 @@ def test_vectors_recall_and_cases(books):
     assert vectors.nearest(books([]), "book_id", "embedding", 16).count() == 0
 
 
+def test_keyword_vectors(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((9, 64))
+    lists = [[(centres[(i + j) % 9] + 0.3 * rng.standard_normal(64)).tolist() for j in range(i % 4)] for i in range(60)]
+    lists[5] = [lists[6][0], None, [0.0] * 64, [1.0] * 63, [float("nan")] * 64, lists[7][1]]
+    rows = [(i * 1_000_003 - 7, v) for i, v in enumerate(lists)] + [(9, None), (10, []), (None, lists[7])]
+    spark.createDataFrame(rows, "book_id long, keywords_embeddings array<array<double>>").write.parquet(f"{tmp_path}/books.parquet")
+    found = {}
+    for r in queries.QUERIES["p6_keywords"](spark, str(tmp_path)).collect():
+        found.setdefault((r["book_id"], r["position"]), []).append((-r["similarity"], r["neighbour_id"], r["neighbour_position"]))
+    usable = {(b, j): np.float32(v).astype(float) for b, vs in rows[:60] for j, v in enumerate(vs) if b != rows[5][0] or j in (0, 5)}
+    unit = {x: v / np.sqrt(v @ v) for x, v in usable.items()}
+    assert set(found) == set(usable)
+    for x, v in unit.items():
+        want = sorted((-round(float(v @ w), 9), *y) for y, w in unit.items() if y != x)[:5]
+        assert [y[1:] for y in sorted(found[x])] == [y[1:] for y in want]
+    with pytest.raises(Exception, match="too large"):
+        vectors.nearest_listed(spark.createDataFrame([(1 << 50, [[1.0]])], "b long, v array<array<double>>"), "b", "v", 1).collect()
+
+
 # encoding
 
 
