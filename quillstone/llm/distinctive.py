@@ -5,7 +5,9 @@ of the record's own model and the collection's background model; expectation-max
 the mass that the background explains away from the record. The probabilities at convergence rank
 the record's terms.
 
-The background comes from all records: one aggregate per term. Terms held by more than one record
+The background comes from the texts of all records, whether they list a term or not: an automaton of
+the vocabulary passes over them, and each term's occurrences are added up, with one for each listing.
+A vocabulary beyond ``part_terms`` is taken in parts, one pass each, so no process holds all of it. Terms held by more than one record
 in a thousand are few (at most a thousand times the mean number of terms per record), so they are
 joined by broadcast, which also keeps a term that a third of the records hold from becoming one
 huge join partition; the rest is an ordinary shuffled join.
@@ -16,6 +18,11 @@ repeated under one id count once (the larger frequency of a term holds); ties ra
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable
+
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -56,15 +63,69 @@ def keyword_occurrences(books: DataFrame, id_col: str, keywords: str, text: str,
     return kept.mapInArrow(run, "record long, term string, tf long")
 
 
-def parsimonious(terms: DataFrame, own_share: float = 0.1, rounds: int = 50, least: float = 1e-4) -> DataFrame:
+def counts_of(automaton: ahocorasick.Automaton, text: str) -> Counter[str]:
+    """How often each term of the automaton occurs in ``text``, each without overlap with itself."""
+    counts, ends = Counter(), {}
+    for at, term in automaton.iter(text):
+        if at - len(term) >= ends.get(term, -1):
+            ends[term] = at
+            counts[term] += 1
+    return counts
+
+
+def text_occurrences(books: DataFrame, id_col: str, text: str, texts: str, vocabulary: DataFrame, part_terms: int = 200_000) -> DataFrame:
+    """(term, tf): occurrences of each term of ``vocabulary`` in the normalised texts of all records."""
+    spark = books.sparkSession
+    kept = books.select(F.col(id_col).cast("long").alias("record"), F.col(text).alias("t"), F.col(texts).alias("ts")).filter("record is not null")
+    parts = max(1, math.ceil(vocabulary.count() / part_terms))
+    found = []
+    for part in range(parts):
+        own = vocabulary.select("term").filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part)
+        words = spark.sparkContext.broadcast("\n".join(own.toArrow().column(0).to_pylist()))
+
+        def run(batches, words=words):
+            automaton = ahocorasick.Automaton()
+            for term in words.value.split("\n"):
+                if term:
+                    automaton.add_word(term, term)
+            automaton.make_automaton()
+            for batch in batches:
+                records, terms, tfs = [], [], []
+                for record, t, ts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    counts = counts_of(automaton, "\n".join([normalise(t), *map(normalise, ts or ())])) if len(automaton) else {}
+                    records += [record] * len(counts)
+                    terms += counts
+                    tfs += counts.values()
+                yield batch_of({"record": records, "term": terms, "tf": tfs}, _OCCURRENCES)
+
+        hits = kept.mapInArrow(run, "record long, term string, tf long")
+        summed = hits.groupBy("record", "term").agg(F.max("tf").alias("tf")).groupBy("term").agg(F.sum("tf").alias("tf"))
+        found.append(cut(summed, "text-occurrences"))
+        words.destroy()
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def parsimonious(
+    terms: DataFrame, own_share: float = 0.1, rounds: int = 50, least: float = 1e-4, background: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """(record, term, tf, df, weight) from (record, term, tf).
 
+    ``background`` gives (term, tf), the occurrences in the whole collection of the terms it is given;
+    without it only those in ``terms`` are known, which misses the records that do not list a term.
+
     ``own_share`` is the prior share of the record's own model in its text, ``least`` the
     probability under which a term leaves the record's model (weight 0). A listed term counts
     once besides its occurrences.
     """
     held = cut(terms.repartition("record").groupBy("record", "term").agg(F.max("tf").alias("tf")), "terms")
     stats = held.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.col("tf") + 1).alias("cf"))
+    if background:
+        stats = cut(stats, "listed-terms")
+        everywhere = background(stats.select("term")).withColumnRenamed("tf", "all_tf")
+        stats = stats.join(everywhere, "term", "left").select("term", "df", (F.coalesce("all_tf", F.lit(0)) + F.col("df")).alias("cf"))
     totals = stats.agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")).first()
     all_cf = float(totals["cf"] or 1)
     records = held.select("record").distinct().count()

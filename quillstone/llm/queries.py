@@ -56,7 +56,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = table(spark, sf_dir, "books")
-    return distinctive.parsimonious(distinctive.keyword_occurrences(books, "book_id", "keywords", "books_intro", "reviews"))
+    listed = distinctive.keyword_occurrences(books, "book_id", "keywords", "books_intro", "reviews")
+    everywhere = lambda terms: distinctive.text_occurrences(books, "book_id", "books_intro", "reviews", terms)
+    return distinctive.parsimonious(listed, background=everywhere)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,6 +168,19 @@ def test_distinctive_terms(books):
     assert distinctive.parsimonious(none).count() == 0
 
 
+def test_background_counts_books_that_do_not_list_a_term(books, spark, tmp_path):
+    rows = [{"book_id": i, "keywords": ["compiler", "zither"], "books_intro": "compiler zither"} for i in range(2)]
+    rows += [{"book_id": 10 + i, "books_intro": "a Compiler", "reviews": ["compilercompiler", None]} for i in range(40)] + [{"book_id": 10, "books_intro": "a Compiler"}]
+    rows += [{"book_id": 60, "keywords": ["aa"], "books_intro": "aaaaa"}, {"book_id": None, "books_intro": "zither"}]
+    books(rows).write.parquet(f"{tmp_path}/books.parquet")
+    terms = spark.createDataFrame([("compiler",), ("zither",), ("aa",), ("none",)], "term string")
+    for part_terms in (100, 1):
+        counted = distinctive.text_occurrences(books(rows), "book_id", "books_intro", "reviews", terms, part_terms)
+        assert {r["term"]: r["tf"] for r in counted.collect()} == {"compiler": 122, "zither": 2, "aa": 2}
+    top = {(r["book_id"], r["rank"]): r["term"] for r in queries.p5_top_terms(spark, str(tmp_path)).collect()}
+    assert top[0, 1] == top[1, 1] == "zither"
+
+
 def test_em_sums_to_one():
     owner = np.array([0, 0, 1, 1, 1])
     p = distinctive.em(owner, 2, np.array([5.0, 1, 1, 1, 9]), np.array([0.5, 1e-4, 0.2, 1e-5, 0.3]), 0.1, 50, 1e-4)
