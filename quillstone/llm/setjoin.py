@@ -4,9 +4,14 @@ Method: multi-index binary sketches. A set's sketch is a code of one-bit minhash
 bit of the least hash of its elements under the j-th hash function, so two sets with Jaccard
 similarity s agree in a bit with probability (1 + s) / 2. The code is cut into segments; pairs
 whose codes differ in at most ``flips`` bits of some segment become candidates (each segment is
-its own index, its neighbouring buckets are probed in place), the whole codes' Hamming distance
-prunes them, and the original sets decide. The number of segments follows from the wanted recall
-at the threshold, by the binomial distribution of the differing bits.
+its own index, its neighbouring buckets are probed in place), the Hamming distance of a check code
+of fixed length prunes them, and the original sets decide. The number of segments follows from the
+wanted recall at the threshold, by the binomial distribution of the differing bits; width and flips
+are those of the least cost in bytes shipped, buckets probed and codes compared.
+
+An index holds an id, a key and the check code: 28 bytes a record and segment, whatever the number of
+segments. Their number has to grow with the collection, as in every index of this kind: about as
+its power 0.3 (``Plan.record_bytes``: 0.4 kB a record at 54,000 sets, 2.8 kB at 25 million).
 
 Equal sets are collapsed first, so a set held by a third of all records is one record in the
 indexes; its copies come back as members of the same class. A segment's index is split by its
@@ -40,22 +45,42 @@ def at_most(k: int, n: int, p: float) -> float:
     return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
 
 
+CHECK_BITS = 128
+#: bytes of an index entry: id, key and check code
+ENTRY = 8 + 4 + CHECK_BITS // 8
+
+
 class Plan:
-    """Widths and numbers of segments for ``records`` sets, calibrated at the threshold."""
+    """Widths and numbers of segments for ``records`` sets, calibrated at the threshold.
 
-    def __init__(self, records: int, threshold: float, recall: float = 0.9998, slice_rows: int = 250_000):
-        self.width = min(32, max(16, math.ceil(math.log2(max(2, records)))))
-        self.fixed = max(0, math.ceil(math.log2(max(1, records / slice_rows))))
-        self.flips = 2
+    Half the loss that ``recall`` allows is the segments', the rest the check code's radius."""
+
+    def __init__(self, records: int, threshold: float, recall: float = 0.9998, slice_rows: int = 2_000_000):
         differ = (1 - threshold) / 2
-        hit = (1 - differ) ** self.fixed * at_most(self.flips, self.width - self.fixed, differ)
-        self.segments = math.ceil(math.log(1 - recall) / math.log(1 - hit))
+        loss = (1 - recall) / 2
+        self.fixed = max(0, math.ceil(math.log2(max(1, records / slice_rows))))
+        best = math.inf
+        for flips in range(4):
+            for free in range(max(4, flips + 2), 25):
+                hit = (1 - differ) ** self.fixed * at_most(flips, free, differ)
+                segments = math.ceil(math.log(loss) / math.log(1 - hit))
+                masks = sum(math.comb(free, r) for r in range(flips + 1))
+                compared = records / 2**self.fixed * masks / 2**free
+                # relative costs of a byte shipped, a bucket probed, two codes compared
+                cost = segments * (150 * ENTRY + 12 * masks / 2 + 10 * compared / 2)
+                if cost < best:
+                    best, self.flips, self.width, self.segments = cost, flips, free + self.fixed, segments
         self.bits = -(-self.segments * self.width // 64) * 64
-        #: Hamming distance of whole codes beyond which fewer than one similar pair in 10^5 lies
-        self.radius = round(self.bits * differ + 4.5 * math.sqrt(self.bits * differ * (1 - differ)))
+        #: Hamming distance of check codes beyond which a similar pair lies with a chance below ``loss``
+        self.radius = next(r for r in range(CHECK_BITS + 1) if 1 - at_most(r, CHECK_BITS, differ) < loss)
         free = self.width - self.fixed
         self.masks = [0] + [sum(1 << i for i in c) for r in range(1, self.flips + 1) for c in combinations(range(free), r)]
 
+    @property
+    def record_bytes(self) -> int:
+        """Bytes of a record in all indexes together."""
+        return self.segments * ENTRY
+
 
 def element_hash(element: str) -> int:
     return int.from_bytes(hashlib.blake2b(element.encode(), digest_size=8).digest(), "little", signed=True)
@@ -109,7 +134,7 @@ def segment_keys(codes: np.ndarray, segment: int, width: int) -> np.ndarray:
 
 
 def candidate_pairs(sets: DataFrame, plan: Plan) -> DataFrame:
-    """Distinct (a, b) whose codes meet in some segment's index and lie within the Hamming radius."""
+    """Distinct (a, b) whose codes meet in some segment's index and whose check codes lie within the radius."""
     width, fixed, segments, bits = plan.width, plan.fixed, plan.segments, plan.bits
     free, masks, radius = width - fixed, plan.masks, plan.radius
 
@@ -119,27 +144,26 @@ def candidate_pairs(sets: DataFrame, plan: Plan) -> DataFrame:
                 continue
             lists = batch.column(1)
             starts = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
-            codes = one_bit_minhashes(lists.flatten().to_numpy(), starts, bits)
+            codes = one_bit_minhashes(lists.flatten().to_numpy(), starts, CHECK_BITS + bits)
+            check, codes = np.ascontiguousarray(codes[:, : CHECK_BITS // 64]), codes[:, CHECK_BITS // 64 :]
             ids = batch.column(0).to_numpy()
             rows = []
             for s in range(segments):
-                lead = segment_keys(codes, s, width) >> free
+                key = segment_keys(codes, s, width)
+                lead, low = key >> free, (key & ((1 << free) - 1)).astype(np.uint32)
                 order = np.argsort(lead, kind="stable")
                 edges = np.flatnonzero(np.r_[True, np.diff(lead[order]) != 0, True])
                 for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                     own = order[lo:hi]
-                    rows.append((s << fixed | int(lead[own[0]]), pack(ids[own], codes[own].ravel())))
+                    rows.append((s << fixed | int(lead[own[0]]), pack(ids[own], low[own], check[own].ravel())))
             yield blobs(rows)
 
-    def join(key, parts):
-        segment = key >> fixed
-        ids = np.concatenate([p[0] for p in parts])
-        codes = np.concatenate([p[1] for p in parts]).reshape(len(ids), -1)
-        low = segment_keys(codes, segment, width) & ((1 << free) - 1)
+    def join(_, parts):
+        ids, low = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        codes = np.concatenate([p[2] for p in parts]).reshape(len(ids), -1)
         order = np.argsort(low, kind="stable")
-        ids, codes, low = ids[order], codes[order], low[order]
+        ids, codes, low = ids[order], codes[order], low[order].astype(np.int64)
         bucket = np.concatenate([[0], np.cumsum(np.bincount(low, minlength=1 << free))])
-        found = [np.empty((2, 0), np.int64)]
         for mask in masks:
             if mask:
                 other = low ^ mask
@@ -148,15 +172,15 @@ def candidate_pairs(sets: DataFrame, plan: Plan) -> DataFrame:
             else:
                 start, stop = np.arange(1, len(low) + 1), bucket[low + 1]
             for i, j in flat_pairs(start, stop):
-                differ = np.bitwise_count(codes[i, 0] ^ codes[j, 0]).astype(np.int16)
+                differ = np.bitwise_count(codes[i, 0] ^ codes[j, 0])
                 near = differ <= radius
                 i, j, differ = i[near], j[near], differ[near]
                 for w in range(1, codes.shape[1]):
-                    differ += np.bitwise_count(codes[i, w] ^ codes[j, w])
+                    differ = differ + np.bitwise_count(codes[i, w] ^ codes[j, w])
                 near = differ <= radius
-                found.append(np.stack([ids[i[near]], ids[j[near]]]))
-        pairs = np.concatenate(found, axis=1)
-        yield batch_of({"a": pairs.min(axis=0), "b": pairs.max(axis=0)}, _PAIRS)
+                if near.any():
+                    x, y = ids[i[near]], ids[j[near]]
+                    yield batch_of({"a": np.minimum(x, y), "b": np.maximum(x, y)}, _PAIRS)
 
     slices = segments << fixed
     packed = sets.select("record", "elements").mapInArrow(emit, BLOB)

@@ -348,3 +348,26 @@ def test_abuse_held_out(docs, spark):
     assert all(got[i]["score"] is None and not got[i]["toxic"] for i in (900, 901, 902)) and got[903]["toxic"]
     assert abuse.toxicity(docs([]), labels).count() == 0
     assert abuse.toxicity(docs(rows), labels.limit(0)).filter("toxic").count() == 0
+
+
+def test_set_join_plan_stays_small():
+    plans = {n: setjoin.Plan(n, 0.6) for n in (500, 54_000, 1_000_000, 25_700_000, 100_000_000)}
+    size = {n: p.record_bytes for n, p in plans.items()}
+    print(size)
+    # about the power 0.3 of the records: 480 times as many take less than seven times the bytes each
+    assert size[54_000] <= 500 and size[25_700_000] <= 7 * size[54_000] and size[100_000_000] < 5_000
+    for n, p in plans.items():
+        hit = 0.8**p.fixed * setjoin.at_most(p.flips, p.width - p.fixed, 0.2)
+        assert 1 - (1 - hit) ** p.segments >= 0.9999 and n / 2**p.fixed <= 2_000_000
+
+
+def test_set_join_in_slices(books, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(80)]
+    base = [rng.sample(words, 8) for _ in range(80)]
+    sets = base + [[*b[1:], rng.choice(words)] for b in base]
+    want = {(i, j) for (i, a), (j, b) in combinations(enumerate(sets), 2) if len({*a} & {*b}) / len({*a} | {*b}) >= 0.6}
+    plan = setjoin.Plan
+    monkeypatch.setattr(setjoin, "Plan", lambda n, t, r: plan(n, t, r, slice_rows=20))
+    pairs, members = setjoin.similar_sets(books([{"book_id": i, "keywords": s} for i, s in enumerate(sets)]), "book_id", "keywords")
+    assert pairs_of(setjoin.expanded(pairs, members)) == want
