@@ -75,6 +75,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("record").alias("book_id"), F.col("neighbour").alias("neighbour_id"))
 
 
+def p6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of the books whose id is divisible by 100, against all, by a tree of small leaves without any loss."""
+    found = vectors.nearest(table(spark, sf_dir, "books"), "book_id", "embedding", 128, leaf_rows=128, miss=1e-9, queries=F.col("book_id") % 100 == 0)
+    return found.select(F.col("record").alias("book_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"))
+
+
 def p6_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar other keyword vectors of every usable keyword vector, each by its book and its position from 0."""
     found = vectors.nearest_listed(table(spark, sf_dir, "books"), "book_id", "keywords_embeddings", 64)
@@ -129,6 +135,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_top_terms": p5_top_terms,
     "p6_found": p6_found,
+    "p6_exact": p6_exact,
     "p6_keywords": p6_keywords,
     "p7_found": p7_found,
     "p8_ids": p8_ids,

@@ -217,6 +217,37 @@ def test_vectors_recall_and_cases(books):
     assert vectors.nearest(books([]), "book_id", "embedding", 16).count() == 0
 
 
+def test_vectors_in_chunks_and_for_a_query_set(books):
+    rng = np.random.default_rng(6)
+    data = rng.standard_normal((500, 16))
+    rows = [{"book_id": i, "embedding": v} for i, v in enumerate(data.tolist())]
+    unit = data.astype(np.float32).astype(float)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    want = {}
+    for i in range(500):
+        s = np.round(unit @ unit[i], 9)
+        s[i] = -9
+        want[i] = np.lexsort((np.arange(500), -s))[:5].tolist()
+    # a tree of two leaves, each far over its size: searched in chunks
+    options = {"leaf_rows": 40, "most_sampled": 32, "miss": 1e-9}
+    for queries, asked in ((None, range(500)), (F.col("book_id") % 100 == 0, range(0, 500, 100))):
+        found = {}
+        for r in vectors.nearest(books(rows), "book_id", "embedding", 16, queries=queries, **options).collect():
+            found.setdefault(r["record"], []).append((-round(r["similarity"], 9), r["neighbour"]))
+        assert {i: [n for _, n in sorted(x)] for i, x in found.items()} == {i: want[i] for i in asked}
+
+
+def test_probes_leave_less_than_miss_unseen():
+    rng = np.random.default_rng(7)
+    points = rng.standard_normal((4_000, 9))
+    tree = vectors.Tree(points, 9)
+    query, leaf = tree.probes(points[:50], np.full(50, 0.5), 0.04)
+    near = points[:50, None] + 0.5 * rng.standard_normal((50, 400, 9))
+    seen = {(q, x) for q, x in zip(query.tolist(), leaf.tolist(), strict=True)}
+    inside = [(q, x) in seen for q in range(50) for x in tree.leaves(near[q]).tolist()]
+    assert np.mean(inside) > 0.96 and len(query) < 50 * 512
+
+
 def test_keyword_vectors(spark, tmp_path):
     rng = np.random.default_rng(8)
     centres = rng.standard_normal((9, 64))
