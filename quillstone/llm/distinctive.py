@@ -5,12 +5,17 @@ of the record's own model and the collection's background model; expectation-max
 the mass that the background explains away from the record. The probabilities at convergence rank
 the record's terms.
 
-The background comes from the texts of all records, whether they list a term or not: an automaton of
-the vocabulary passes over them, and each term's occurrences are added up, with one for each listing.
-A vocabulary beyond ``part_terms`` is taken in parts, one pass each, so no process holds all of it. Terms held by more than one record
-in a thousand are few (at most a thousand times the mean number of terms per record), so they are
-joined by broadcast, which also keeps a term that a third of the records hold from becoming one
-huge join partition; the rest is an ordinary shuffled join.
+The vocabulary is every keyword of the collection. An automaton of it passes over the texts of all
+records, so a record's terms are those of the vocabulary that its texts hold, listed or not, each
+with its occurrences and one more where it is listed; the background is their sum over all records. A
+term that is no more frequent in a record than (1 - own_share) / own_share times its background
+loses all its mass to it, and leaves the record's model. Convergence is that of each record, so a
+weight does not depend on what else is in its partition.
+
+A vocabulary beyond ``part_terms`` is taken in parts, one pass each, so no process holds all of it.
+Terms held by more than one record in a thousand are few (at most a thousand times the mean number
+of terms per record), so they are joined by broadcast, which also keeps a term that a third of the
+records hold from becoming one huge join partition; the rest is an ordinary shuffled join.
 
 Cases: null or blank terms and texts count as absent; a record without terms gives no row; rows
 repeated under one id count once (the larger frequency of a term holds); ties rank by term.
@@ -19,8 +24,8 @@ repeated under one id count once (the larger frequency of a term holds); ties ra
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
-from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -31,36 +36,34 @@ from pyspark.sql import functions as F
 from quillstone.llm.arrow import batch_of, normalise, normalised_set
 from quillstone.storage import cut
 
-_OCCURRENCES = pa.schema([("record", pa.int64()), ("term", pa.string()), ("tf", pa.int64())])
-_MODEL = pa.schema(
-    [("record", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("df", pa.int64()), ("weight", pa.float64())]
-)
+_TERMS = pa.schema([("term", pa.string())])
+_OCCURRENCES = pa.schema([("record", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("listed", pa.bool_())])
+_MODEL = pa.schema([("record", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("df", pa.int64()), ("listed", pa.bool_()), ("weight", pa.float64())])
 
+_automata: dict[str, ahocorasick.Automaton] = {}
 
-def keyword_occurrences(books: DataFrame, id_col: str, keywords: str, text: str, texts: str) -> DataFrame:
-    """(record, term, tf): each distinct normalised keyword of a record and how often it occurs, as a
-    substring without overlap, in the record's normalised text and in each of its normalised texts."""
-    kept = books.select(
-        F.col(id_col).cast("long").alias("record"), F.col(keywords).alias("k"), F.col(text).alias("t"), F.col(texts).alias("ts")
-    )
+
+def vocabulary(books: DataFrame, keywords: str) -> DataFrame:
+    """The distinct normalised keywords."""
 
     def run(batches):
         for batch in batches:
-            records, terms, tfs = [], [], []
-            for record, ks, t, ts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if record is None or not ks:
-                    continue
-                own = normalised_set(ks)
-                if not own:
-                    continue
-                # a line break never survives normalisation, so it separates the texts
-                whole = "\n".join([normalise(t), *map(normalise, ts or ())])
-                records += [record] * len(own)
-                terms += own
-                tfs += [whole.count(k) for k in own]
-            yield batch_of({"record": records, "term": terms, "tf": tfs}, _OCCURRENCES)
-
-    return kept.mapInArrow(run, "record long, term string, tf long")
+            found = dict.fromkeys(k for ks in batch.column(0).to_pylist() for k in normalised_set(ks))
+            yield batch_of({"term": list(found)}, _TERMS)
+
+    return books.select(keywords).mapInArrow(run, "term string").distinct()
+
+
+def automaton_of(name: str, words: str) -> ahocorasick.Automaton:
+    """The automaton of the lines of ``words``, kept by ``name`` for the process's next tasks."""
+    if name not in _automata:
+        _automata.clear()
+        made = ahocorasick.Automaton()
+        for term in filter(None, words.split("\n")):
+            made.add_word(term, term)
+        made.make_automaton()
+        _automata[name] = made
+    return _automata[name]
 
 
 def counts_of(automaton: ahocorasick.Automaton, text: str) -> Counter[str]:
@@ -73,73 +76,59 @@ def counts_of(automaton: ahocorasick.Automaton, text: str) -> Counter[str]:
     return counts
 
 
-def text_occurrences(books: DataFrame, id_col: str, text: str, texts: str, vocabulary: DataFrame, part_terms: int = 200_000) -> DataFrame:
-    """(term, tf): occurrences of each term of ``vocabulary`` in the normalised texts of all records."""
+def term_occurrences(books: DataFrame, id_col: str, keywords: str, text: str, texts: str, part_terms: int = 200_000) -> DataFrame:
+    """(record, term, tf, listed): the terms of the vocabulary that a record lists or its normalised texts
+    hold, and how often these do, as a substring without overlap in each text by itself."""
     spark = books.sparkSession
-    kept = books.select(F.col(id_col).cast("long").alias("record"), F.col(text).alias("t"), F.col(texts).alias("ts")).filter("record is not null")
-    parts = max(1, math.ceil(vocabulary.count() / part_terms))
+    kept = books.select(
+        F.col(id_col).cast("long").alias("record"), F.col(keywords).alias("k"), F.col(text).alias("t"), F.col(texts).alias("ts")
+    ).filter("record is not null")
+    terms = cut(vocabulary(books, keywords), "vocabulary")
+    parts = max(1, math.ceil(terms.count() / part_terms))
     found = []
     for part in range(parts):
-        own = vocabulary.select("term").filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part)
+        own = terms.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part)
         words = spark.sparkContext.broadcast("\n".join(own.toArrow().column(0).to_pylist()))
 
-        def run(batches, words=words):
-            automaton = ahocorasick.Automaton()
-            for term in words.value.split("\n"):
-                if term:
-                    automaton.add_word(term, term)
-            automaton.make_automaton()
+        def run(batches, words=words, name=uuid.uuid4().hex):
+            automaton = automaton_of(name, words.value)
             for batch in batches:
-                records, terms, tfs = [], [], []
-                for record, t, ts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    counts = counts_of(automaton, "\n".join([normalise(t), *map(normalise, ts or ())])) if len(automaton) else {}
-                    records += [record] * len(counts)
-                    terms += counts
-                    tfs += counts.values()
-                yield batch_of({"record": records, "term": terms, "tf": tfs}, _OCCURRENCES)
-
-        hits = kept.mapInArrow(run, "record long, term string, tf long")
-        summed = hits.groupBy("record", "term").agg(F.max("tf").alias("tf")).groupBy("term").agg(F.sum("tf").alias("tf"))
-        found.append(cut(summed, "text-occurrences"))
-        words.destroy()
+                out: dict[str, list] = {f.name: [] for f in _OCCURRENCES}
+                for record, ks, t, ts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    # a line break never survives normalisation, so it separates the texts
+                    counts = counts_of(automaton, "\n".join([normalise(t), *map(normalise, ts or ())])) if len(automaton) else Counter()
+                    listed = {k for k in normalised_set(ks) if k in automaton}
+                    counts.update(dict.fromkeys(listed, 0))
+                    out["record"] += [record] * len(counts)
+                    out["term"] += counts
+                    out["tf"] += counts.values()
+                    out["listed"] += [k in listed for k in counts]
+                yield batch_of(out, _OCCURRENCES)
+
+        found.append(kept.mapInArrow(run, "record long, term string, tf long, listed boolean"))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
     return out
 
 
-def parsimonious(
-    terms: DataFrame, own_share: float = 0.1, rounds: int = 50, least: float = 1e-4, background: Callable[[DataFrame], DataFrame] | None = None
-) -> DataFrame:
-    """(record, term, tf, df, weight) from (record, term, tf).
-
-    ``background`` gives (term, tf), the occurrences in the whole collection of the terms it is given;
-    without it only those in ``terms`` are known, which misses the records that do not list a term.
+def parsimonious(terms: DataFrame, own_share: float = 0.01, rounds: int = 200, least: float = 1e-4) -> DataFrame:
+    """(record, term, tf, df, listed, weight) from (record, term, tf, listed); df counts the records that list the term.
 
     ``own_share`` is the prior share of the record's own model in its text, ``least`` the
     probability under which a term leaves the record's model (weight 0). A listed term counts
     once besides its occurrences.
     """
-    held = cut(terms.repartition("record").groupBy("record", "term").agg(F.max("tf").alias("tf")), "terms")
-    stats = held.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.col("tf") + 1).alias("cf"))
-    if background:
-        stats = cut(stats, "listed-terms")
-        everywhere = background(stats.select("term")).withColumnRenamed("tf", "all_tf")
-        stats = stats.join(everywhere, "term", "left").select("term", "df", (F.coalesce("all_tf", F.lit(0)) + F.col("df")).alias("cf"))
-    totals = stats.agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")).first()
-    all_cf = float(totals["cf"] or 1)
+    held = cut(terms.repartition("record").groupBy("record", "term").agg(F.max("tf").alias("tf"), F.bool_or("listed").alias("listed")), "terms")
+    one = F.col("listed").cast("long")
+    stats = cut(held.groupBy("term").agg(F.count("*").alias("n"), F.sum(one).alias("df"), F.sum(F.col("tf") + one).alias("cf")), "term-stats")
+    all_cf = float(stats.agg(F.sum("cf")).first()[0] or 1)
     records = held.select("record").distinct().count()
     common = max(1_000, records // 1_000)
-    stats = cut(stats, "term-stats")
-    frequent = held.join(F.broadcast(stats.filter(F.col("df") > common)), "term")
-    others = held.join(F.broadcast(stats.filter(F.col("df") > common).select("term")), "term", "left_anti").join(
-        stats.filter(F.col("df") <= common), "term"
-    )
-    joined = (
-        frequent.unionByName(others)
-        .groupBy("record")
-        .agg(F.sort_array(F.collect_list(F.struct("term", "tf", "df", "cf"))).alias("terms"))
-    )
+    frequent = stats.filter(F.col("n") > common)
+    often = held.join(F.broadcast(frequent), "term")
+    others = held.join(F.broadcast(frequent.select("term")), "term", "left_anti").join(stats.filter(F.col("n") <= common), "term")
+    joined = often.unionByName(others).groupBy("record").agg(F.sort_array(F.collect_list(F.struct("term", "tf", "df", "cf", "listed"))).alias("terms"))
 
     def run(batches):
         for batch in batches:
@@ -147,30 +136,32 @@ def parsimonious(
             flat = lists.flatten()
             sizes = np.diff(lists.offsets.to_numpy())
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            tf, df, cf = (flat.field(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            weight = em(owner, len(sizes), tf + 1.0, cf / all_cf, own_share, rounds, least)
+            tf, df, cf, listed = (flat.field(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4))
+            weight = em(owner, len(sizes), (tf + listed).astype(float), cf / all_cf, own_share, rounds, least)
             record = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(record, pa.int64()), flat.field(0), pa.array(tf, pa.int64()), pa.array(df, pa.int64()), pa.array(weight)],
-                schema=_MODEL,
-            )
+            arrays = [pa.array(record, pa.int64()), flat.field(0), pa.array(tf, pa.int64()), pa.array(df, pa.int64()), flat.field(4), pa.array(weight)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=_MODEL)
 
-    return joined.mapInArrow(run, "record long, term string, tf long, df long, weight double")
+    return joined.mapInArrow(run, "record long, term string, tf long, df long, listed boolean, weight double")
 
 
 def em(owner: np.ndarray, n: int, tf: np.ndarray, background: np.ndarray, own_share: float, rounds: int, least: float) -> np.ndarray:
-    """Converged term probabilities of ``n`` records at once; ``owner`` gives the record of each term."""
+    """Converged term probabilities of ``n`` records at once; ``owner`` gives the record of each term. Each
+    record stops by itself, so its result is the same whatever it is computed with."""
     total = np.bincount(owner, tf, n)
     p = tf / np.maximum(total, 1e-300)[owner]
+    open_ = np.ones(n, bool)
     for _ in range(rounds):
         own = own_share * p
         e = tf * own / (own + (1 - own_share) * background)
         new = e / np.maximum(np.bincount(owner, e, n), 1e-300)[owner]
         new[new < least] = 0.0
         new /= np.maximum(np.bincount(owner, new, n), 1e-300)[owner]
-        done = np.abs(new - p).max(initial=0.0) < 1e-6
-        p = new
-        if done:
+        change = np.zeros(n)
+        np.maximum.at(change, owner, np.abs(new - p))
+        p = np.where(open_[owner], new, p)
+        open_ &= change >= 1e-9
+        if not open_.any():
             break
     return p
 
@@ -182,5 +173,5 @@ def distinctive_terms(scored: DataFrame, k: int = 5) -> DataFrame:
 
 
 def distinctive_found(scored: DataFrame, least_df: int = 2, most_df: int = 8, least_tf: int = 3) -> DataFrame:
-    """Terms that stay in the record's model and are shared by few records and repeated in this one."""
-    return scored.filter((F.col("weight") > 0) & F.col("df").between(least_df, most_df) & (F.col("tf") >= least_tf))
+    """Listed terms that stay in the record's model, are listed by few records and repeated in this one."""
+    return scored.filter(F.col("listed") & (F.col("weight") > 0) & F.col("df").between(least_df, most_df) & (F.col("tf") >= least_tf))

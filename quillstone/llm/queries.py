@@ -55,10 +55,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = table(spark, sf_dir, "books")
-    listed = distinctive.keyword_occurrences(books, "book_id", "keywords", "books_intro", "reviews")
-    everywhere = lambda terms: distinctive.text_occurrences(books, "book_id", "books_intro", "reviews", terms)
-    return distinctive.parsimonious(listed, background=everywhere)
+    return distinctive.parsimonious(distinctive.term_occurrences(table(spark, sf_dir, "books"), "book_id", "keywords", "books_intro", "reviews"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +168,62 @@ def _leximin_sql(scored: str, group: str, item: str, columns: str, scores: dict[
 _FORMATS = "['%Y-%m-%d', '%Y/%m/%d', '%Y年%m月%d日', '%Y-%m', '%Y/%m', '%Y年%m月', '%Y']"
 _USUAL = "case when {0} >= date '1901-01-01' and {0} <= coalesce(cast(requested_at as date), date '9999-12-31') then {0} end"
 
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000\xa0"
+_NARROW = "".join(map(chr, range(0x21, 0x7F))) + "  "
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _folded(text: str) -> str:
+    """Lower case and one width: of NFKC what these tables hold."""
+    return f"lower(nfc_normalize(translate({text}, {_quoted(_WIDE)}, {_quoted(_NARROW)})))"
+
+
+def _normal(text: str) -> str:
+    return f"trim(regexp_replace({_folded(f'coalesce({text}, {chr(39) * 2})')}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
+
+
+def _normal_list(items: str) -> str:
+    """Distinct normalised items of a list column, without blanks."""
+    return f"list_distinct(list_filter(list_transform(coalesce({items}, []), lambda x: {_normal('x')}), lambda x: x <> ''))"
+
+
+_UNIT = """usable as (
+    select book_id, list_transform(embedding, lambda x: cast(cast(x as float) as double)) as v from books
+    where len(embedding) = 128 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), units as materialized (select book_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from usable)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p3_found": f"""with joined as (
+    select book_id, regexp_replace({_folded("concat(title, books_intro, author_intro)")}, '[^\\p{{L}}\\p{{N}}]+', '', 'g') as t
+    from (select distinct on (book_id) * from books) where trim(books_intro) <> ''
+), grams as materialized (
+    select book_id, unnest(list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4)))) as g from joined where length(t) >= 80
+), sizes as (select book_id, count(*) as n from grams group by all), shared as (
+    select a.book_id as book_a, b.book_id as book_b, count(*) as met from grams a join grams b on a.g = b.g and a.book_id < b.book_id group by all
+)
+select book_a, book_b from shared join sizes a on a.book_id = book_a join sizes b on b.book_id = book_b where met >= 0.6 * (a.n + b.n - met)""",
+    "p5_found": f"""with listed as (
+    select distinct book_id, unnest({_normal_list("keywords")}) as term from books
+), few as (select term from listed group by term having count(*) between 2 and 8), texts as (
+    select book_id, unnest(list_concat([{_normal("books_intro")}], list_transform(coalesce(reviews, []), lambda x: {_normal("x")}))) as t from books
+)
+select book_id, term from listed join few using (term) join texts using (book_id)
+group by all having sum((length(t) - length(replace(t, term, ''))) // length(term)) >= 3""",
+    "p6_found": f"""with {_UNIT}
+select a.book_id, b.book_id as neighbour_id from units a join units b on a.book_id <> b.book_id
+qualify row_number() over (partition by a.book_id order by round(list_dot_product(a.u, b.u), 9) desc, b.book_id) <= 5""",
+    "p6_exact": f"""with {_UNIT}
+select a.book_id, b.book_id as neighbour_id, round(list_dot_product(a.u, b.u), 6) as similarity from units a join units b on a.book_id <> b.book_id
+where a.book_id % 100 = 0 qualify row_number() over (partition by a.book_id order by round(list_dot_product(a.u, b.u), 9) desc, b.book_id) <= 5""",
+    "p7_found": f"""with sets as materialized (
+    select book_id, list_distinct(list_concat(k, {_normal_list("domain_tags")})) as s
+    from (select *, {_normal_list("keywords")} as k from (select distinct on (book_id) * from books)) where len(k) >= 3
+)
+select a.book_id as book_a, b.book_id as book_b from sets a join sets b on a.book_id < b.book_id
+where len(list_intersect(a.s, b.s)) >= 0.6 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))""",
     "p1_ranking": _leximin_sql(
         f"""dated as (
     select r.*, b.rating as book_rating, b.publication_date as book_date,

@@ -1,6 +1,9 @@
+import glob
+import os
 import random
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -156,35 +159,67 @@ def test_name_token_order(books):
 # distinctive terms
 
 
+def terms_of(df, part_terms=100_000):
+    return distinctive.term_occurrences(df, "book_id", "keywords", "books_intro", "reviews", part_terms)
+
+
 def test_distinctive_terms(books):
-    rows = [{"book_id": i, "keywords": ["Common", f"rare {i // 2}"], "books_intro": f"common rare {i // 2}, RARE {i // 2}", "reviews": [None, "", f"rare {i // 2} common"]} for i in range(20)]
+    rows = [{"book_id": i, "keywords": ["Common", f"rare {i // 2}"], "books_intro": f"common rare {i // 2}, RARE {i // 2}", "reviews": [None, "", f"rare {i // 2} common"], "key": "clash"} for i in range(20)]
     rows += [{"book_id": 50}, {"book_id": 51, "keywords": [" ", None]}, dict(rows[0]), {"book_id": 52, "keywords": ["lone"], "books_intro": "lone " * 50_000}]
-    scored = distinctive.parsimonious(distinctive.keyword_occurrences(books(rows), "book_id", "keywords", "books_intro", "reviews"))
+    scored = distinctive.parsimonious(terms_of(books(rows)))
     found = {(r["record"], r["term"]) for r in distinctive.distinctive_found(scored).collect()}
     assert found == {(i, f"rare {i // 2}") for i in range(20)}
     top = {r["record"]: r["term"] for r in distinctive.distinctive_terms(scored, 1).collect()}
     assert all(top[i] == f"rare {i // 2}" for i in range(20)) and top[52] == "lone" and 50 not in top
-    none = distinctive.keyword_occurrences(books([]), "book_id", "keywords", "books_intro", "reviews")
-    assert distinctive.parsimonious(none).count() == 0
+    # the term of all records is the background's
+    common = distinctive.parsimonious(terms_of(books(rows[:20]))).filter("term = 'common'")
+    assert common.filter("weight > 0").count() == 0 and common.count() == 20
+    assert distinctive.parsimonious(terms_of(books([]))).count() == 0
 
 
 def test_background_counts_books_that_do_not_list_a_term(books, spark, tmp_path):
     rows = [{"book_id": i, "keywords": ["compiler", "zither"], "books_intro": "compiler zither"} for i in range(2)]
     rows += [{"book_id": 10 + i, "books_intro": "a Compiler", "reviews": ["compilercompiler", None]} for i in range(40)] + [{"book_id": 10, "books_intro": "a Compiler"}]
-    rows += [{"book_id": 60, "keywords": ["aa"], "books_intro": "aaaaa"}, {"book_id": None, "books_intro": "zither"}]
+    rows += [{"book_id": 60, "keywords": ["aa", "none"], "books_intro": "aaaaa"}, {"book_id": None, "books_intro": "zither"}]
     books(rows).write.parquet(f"{tmp_path}/books.parquet")
-    terms = spark.createDataFrame([("compiler",), ("zither",), ("aa",), ("none",)], "term string")
     for part_terms in (100, 1):
-        counted = distinctive.text_occurrences(books(rows), "book_id", "books_intro", "reviews", terms, part_terms)
-        assert {r["term"]: r["tf"] for r in counted.collect()} == {"compiler": 122, "zither": 2, "aa": 2}
+        counted = terms_of(books(rows), part_terms).groupBy("record", "term").agg(F.max("tf").alias("tf")).groupBy("term").agg(F.sum("tf").alias("tf"))
+        assert {r["term"]: r["tf"] for r in counted.collect()} == {"compiler": 122, "zither": 2, "aa": 2, "none": 0}
     top = {(r["book_id"], r["rank"]): r["term"] for r in queries.p5_top_terms(spark, str(tmp_path)).collect()}
     assert top[0, 1] == top[1, 1] == "zither"
 
 
-def test_em_sums_to_one():
-    owner = np.array([0, 0, 1, 1, 1])
-    p = distinctive.em(owner, 2, np.array([5.0, 1, 1, 1, 9]), np.array([0.5, 1e-4, 0.2, 1e-5, 0.3]), 0.1, 50, 1e-4)
-    assert np.bincount(owner, p) == pytest.approx([1, 1])
+def test_weights_do_not_depend_on_partitions(books):
+    rng = random.Random(12)
+    words = [f"w{i:02}" for i in range(40)]
+    some = lambda n: [words[min(39, int(rng.expovariate(0.1)))] for _ in range(n)]
+    terms = terms_of(books([{"book_id": i, "keywords": some(4), "books_intro": " ".join(some(30))} for i in range(120)])).collect()
+    schema = "record long, term string, tf long, listed boolean"
+    spark = books([]).sparkSession
+    found = []
+    for n in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        scored = distinctive.parsimonious(spark.createDataFrame(terms, schema).repartition(n))
+        found.append(sorted((r["record"], r["term"], r["weight"]) for r in scored.repartition(n).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found[0] == found[1] and any(w == 0 for *_, w in found[0])
+
+
+def test_em_against_its_fixed_point():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        tf, q = rng.integers(1, 9, 12).astype(float), rng.dirichlet(np.ones(12)) * 0.05
+        p = distinctive.em(np.zeros(12, int), 1, tf, q, 0.1, 5_000, 0.0)
+        # at the fixed point a term's mass is its share of what is left less its background, or nothing
+        order = np.argsort(-tf / q)
+        for m in range(12, 0, -1):
+            kept = order[:m]
+            c = tf[kept].sum() / (1 + 9 * q[kept].sum())
+            want = tf / c - 9 * q
+            if (want[kept] > 0).all():
+                break
+        want[[i for i in range(12) if i not in kept]] = 0
+        assert p == pytest.approx(np.maximum(want, 0), abs=1e-4)
 
 
 # vectors
@@ -402,3 +437,33 @@ def test_set_join_in_slices(books, monkeypatch):
     monkeypatch.setattr(setjoin, "Plan", lambda n, t, r: plan(n, t, r, slice_rows=20))
     pairs, members = setjoin.similar_sets(books([{"book_id": i, "keywords": s} for i, s in enumerate(sets)]), "book_id", "keywords")
     assert pairs_of(setjoin.expanded(pairs, members)) == want
+
+
+# queries against their SQL
+
+SF = "/root/testdata/sf0.001"
+
+
+def cell(v):
+    return "NULL" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_agrees_with_sql(spark, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from read_parquet('{f}')")
+    df = queries.QUERIES[name](spark, SF)
+    got = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in got.description]
+    assert sorted(df.columns) == sorted(columns)
+    rows = lambda some, names: sorted(tuple(cell(r[i]) for i in sorted(range(len(names)), key=lambda i: names[i])) for r in some)
+    assert rows(df.collect(), df.columns) == rows(got.fetchall(), columns)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
+def test_query_runs(spark, name):
+    rows = queries.QUERIES[name](spark, SF).collect()
+    assert rows and len(set(map(str, rows))) == len(rows)
