@@ -11,8 +11,10 @@ Labels are per document while one sentence makes a document toxic, so the toxic
 first all sentences of toxic documents train it, then in each round only those that models of other
 documents find toxic; the rest join the ordinary model. Of documents
 whose annotators disagree, the majority counts, a tie counts as toxic nowhere and is left out.
-The threshold is the one with the best F1 on held-out halves, with ordinary documents weighted to
-their estimated share in the corpus.
+The threshold is the one with the best F1 on held-out thirds, with toxic and ordinary documents
+weighted to the share of toxic ones in the corpus; it is never below 0, where both models explain a
+sentence equally well. That share is estimated from the scores of all documents: of the documents
+above 0, and of the labelled ones of both classes above 0, it follows how many of all are toxic.
 
 Models are fitted on the driver on at most ``most_labelled`` labelled documents (a documented bound;
 their n-grams bound what is broadcast); every document is scored, as a whole text.
@@ -33,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.storage import cut
+
 ORDER = 6
 _ENDS = re.compile(r"(?<=[。！？!?…～~])(?![。！？!?…～~])|(?<=\.)(?=\s)|(?<=\.\.)(?!\.)|\n+|<[^<>]{0,20}>")
 _CJK = "㐀-鿿"
@@ -156,8 +160,8 @@ def shared_counts(texts: list[str]) -> Counts:
 class Models:
     """Both classes' models; ``score`` compares them."""
 
-    def __init__(self, toxic: KneserNey, ordinary: KneserNey, threshold: float = 0.0):
-        self.toxic, self.ordinary, self.threshold = toxic, ordinary, threshold
+    def __init__(self, toxic: KneserNey, ordinary: KneserNey):
+        self.toxic, self.ordinary = toxic, ordinary
         self.types = float(toxic.shared.counts.sum())
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -222,29 +226,37 @@ def worst(models: Models, docs: list[list[str]], known: dict[str, float] | None
     return found
 
 
-def trained(docs: list[list[str]], labels: list[bool], corpus_share: float) -> Models:
-    """Models on all documents, with the threshold that does best on held-out halves.
-
-    ``corpus_share`` is the share of toxic documents expected in the corpus."""
-    truth = np.array(labels)
+def trained(docs: list[list[str]], labels: list[bool], folds: int = 3) -> tuple[Models, np.ndarray]:
+    """Models on all documents, and of each document its score by models that have not seen it."""
     held = np.empty(len(docs))
-    half = np.array([hash_of(d) // 7 % 2 == 0 for d in docs])
-    for side in (half, ~half):
-        part = fit([d for d, x in zip(docs, ~side, strict=True) if x], truth[~side].tolist())
-        held[side] = worst(part, [d for d, x in zip(docs, side, strict=True) if x])
-    models = fit(docs, labels)
-    weight = np.where(truth, corpus_share / max(1, truth.sum()), (1 - corpus_share) / max(1, (~truth).sum()))
+    fold = np.array([hash_of(d) // 7 % folds for d in docs])
+    for f in range(folds):
+        own, others = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        part = fit([docs[i] for i in others], [labels[i] for i in others])
+        held[own] = worst(part, [docs[i] for i in own])
+    return fit(docs, labels), held
+
+
+def estimated_share(held: np.ndarray, truth: np.ndarray, above: float) -> float:
+    """Share of toxic documents where the share ``above`` scores over 0, by the rates of held-out ones.
+
+    The rates of both classes start from one document of each side, so few labels give no extremes."""
+    hit, false = ((np.sum(held[x] > 0) + 0.5) / (x.sum() + 1) for x in (truth, ~truth))
+    return float(np.clip((above - false) / max(hit - false, 0.05), 0.001, 0.5))
+
+
+def best_threshold(held: np.ndarray, truth: np.ndarray, share: float) -> float:
+    """The threshold of at least 0 with the best F1 where ``share`` of the documents are toxic."""
+    weight = np.where(truth, share / max(1, truth.sum()), (1 - share) / max(1, (~truth).sum()))
     order = np.argsort(-held)
+    ranked = held[order]
     hit, said = np.cumsum(np.where(truth, weight, 0)[order]), np.cumsum(weight[order])
-    f1 = 2 * hit / (said + corpus_share)
-    finite = np.isfinite(held[order])
-    f1 = np.where(finite, f1, 0)
+    f1 = np.where(ranked > 0, 2 * hit / (said + share), 0)
+    if not f1.any():
+        return 0.0
     best = int(np.argmax(f1))
-    upper = held[order][best]
-    lower = held[order][best + 1] if best + 1 < len(held) and finite[best + 1] else upper
-    models.threshold = float((upper + lower) / 2)
-    models.held = held
-    return models
+    below = ranked[best + 1] if best + 1 < len(ranked) else 0.0
+    return float((ranked[best] + max(below, 0.0)) / 2)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most_labelled: int = 10_000) -> DataFrame:
@@ -265,18 +277,22 @@ def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     kind = kept.schema["id"].dataType.simpleString()
     if not any(d and b for d, b in zip(docs, bad, strict=True)) or all(bad):
         return kept.select(F.col("id").alias(id_col), F.lit(None).cast("double").alias("score"), F.lit(False).alias("toxic"))
-    models = trained(docs, bad, 0.05)
+    models, held = trained(docs, bad)
     shared = spark.sparkContext.broadcast(models)
 
     def run(batches):
         known: dict[str, float] = {}
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            scores, flags = [], []
+            scores: list[float | None] = []
             for lo in range(0, len(texts), 500):
                 score = worst(shared.value, [sentences(t) for t in texts[lo : lo + 500]], known)
                 scores += [None if not np.isfinite(x) else float(x) for x in score]
-                flags += (score > shared.value.threshold).tolist()
-            yield pa.RecordBatch.from_arrays([ids, pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names=["id", "score", "toxic"])
-
-    return kept.mapInArrow(run, f"id {kind}, score double, toxic boolean").withColumnRenamed("id", id_col)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(scores, pa.float64())], names=["id", "score"])
+
+    scored = cut(kept.mapInArrow(run, f"id {kind}, score double"), "toxicity")
+    counted = scored.filter("score is not null").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0).alias("above")).first()
+    truth = np.array(bad)
+    share = estimated_share(held, truth, counted["above"] / max(1, counted["n"]))
+    toxic = F.coalesce(F.col("score") > best_threshold(held, truth, share), F.lit(False))
+    return scored.select(F.col("id").alias(id_col), "score", toxic.alias("toxic"))
