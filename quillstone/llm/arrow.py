@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,38 @@ def over_slices(
     )
 
 
+def summed(df: DataFrame, fan: int = 64) -> DataFrame:
+    """Blobs of one shape added up by slice, in two levels: each slice's in ``fan`` parts, then the parts'
+    sums, so no task reads more than a part of the blobs nor holds more than one sum."""
+
+    def numbered(batches):
+        part = TaskContext.get().partitionId() % fan
+        for batch in batches:
+            yield blobs([(k * fan + part, b.as_py()) for k, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)])
+
+    def whole(batches):
+        for batch in batches:
+            yield blobs([(k // fan, b.as_py()) for k, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)])
+
+    def add(batches):
+        now, total = None, []
+        for batch in batches:
+            for key, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = unpack(blob.as_py())
+                if key == now:
+                    total = [x + y for x, y in zip(total, own, strict=True)]
+                    continue
+                if now is not None:
+                    yield blobs([(now, pack(*total))])
+                now, total = key, own
+        if now is not None:
+            yield blobs([(now, pack(*total))])
+
+    for step in (numbered, whole):
+        df = df.mapInArrow(step, BLOB).repartition("slice").sortWithinPartitions("slice").mapInArrow(add, BLOB)
+    return df
+
+
 def partitions_for(spark: SparkSession, units: int) -> int:
     """Shuffle partitions for ``units`` slices: one each, but no fewer than the session's setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(units, 100_000))

@@ -1,16 +1,18 @@
 """Mixing sources to target weights.
 
 Method: soft-membership mixing. Each document belongs to the domains (sources) with a posterior: a
-document whose source has a target belongs to it; one without a source gets the posteriors of a
-classifier trained on the labelled table, all documents with a source; one of a source without a
-target takes no part. Sizes are tokens of a public tokenizer. Nonnegative document rates are fitted
-by projected-gradient least squares, so that the expected tokens of each domain meet its target: a
-step moves every rate along its domains' residuals, scaled by the domains' sizes, and projects it
-back between zero and the expected repeat cap of its domains.
-
-The gradient is distributed: a rate is a function of the residuals so far, a few numbers, so each
-round is one pass over the documents that recomputes rates and returns one total per domain. Neither
-rates nor documents come to the driver.
+document whose source has a target belongs to it, since its domain is known; one without a source
+gets the posteriors of a classifier trained on the labelled table, all documents with a source; one
+of a source without a target takes no part. Posteriors are kept in steps of 1/64. Sizes are tokens of
+a public tokenizer. Nonnegative document rates are fitted by projected-gradient least squares, so that
+the expected tokens of each domain meet its target: a step moves every rate along its domains'
+residuals, scaled by the domains' sizes, and projects it back between zero and the expected repeat
+cap of its domains.
+
+The gradient is distributed: a rate is a function of the posterior and of the residuals so far, a few
+numbers, so the documents are added up once to a table of posteriors with their tokens, and each
+round is a pass over that table which returns one total per domain. Neither rates nor documents come
+to the driver. At most ``rounds`` rounds are made; the residual left is reported.
 
 The total to mix is the largest at which every target with documents can be met within its cap, or
 the caller's. Targets without documents are reported with what they reach, and their share goes to
@@ -32,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.arrow import BLOB, blobs, normalise, pack, unpack
+from quillstone.llm.arrow import BLOB, blobs, normalise, pack, summed, unpack
 from quillstone.llm.encode import token_counts
 from quillstone.storage import cut
 
 FEATURES = 1 << 14
 BINS = 4_096
+STEPS = 64
 TEMPERATURES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
 
 
@@ -73,8 +76,24 @@ class Classifier:
         return e / e.sum()
 
 
+def column_sums(df: DataFrame, of, width: int) -> np.ndarray:
+    """The sum over all batches of the vectors of ``width`` numbers that ``of(batch)`` gives."""
+    names = [f"x{i}" for i in range(width)]
+
+    def run(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                total += of(batch)
+        yield pa.RecordBatch.from_pydict({n: [x] for n, x in zip(names, total.tolist(), strict=True)})
+
+    row = df.mapInArrow(run, ", ".join(f"{n} double" for n in names)).agg(*[F.sum(n) for n in names]).first()
+    return np.array([x or 0.0 for x in row])
+
+
 def train(labelled: DataFrame, classes: int) -> Classifier:
-    """Classifier of (held, label, text): counts over all documents that are not held out, in one pass."""
+    """Classifier of (held, label, text): counts over all documents that are not held out, in one pass, added
+    up by label in a tree; the driver gets one row of counts per label."""
 
     def count(batches):
         counts, documents = np.zeros((classes, FEATURES)), np.zeros(classes)
@@ -83,41 +102,35 @@ def train(labelled: DataFrame, classes: int) -> Classifier:
                 if not held:
                     documents[label] += 1
                     counts[label, features(text)] += 1
-        if documents.any():
-            yield blobs([(0, pack(counts.astype(np.float32).ravel(), documents))])
-
-    def add(x, y):
-        return (x[0] + y[0], x[1] + y[1])
+        yield blobs([(i, pack(counts[i].astype(np.float32), documents[i : i + 1])) for i in np.flatnonzero(documents).tolist()])
 
-    rows = labelled.mapInArrow(count, BLOB).repartition(1).mapInArrow(lambda it: _added(it, add), BLOB).collect()
-    counts, documents = (np.zeros(classes * FEATURES), np.zeros(classes)) if not rows else unpack(bytes(rows[0]["blob"]))
-    model = Classifier(counts.reshape(classes, FEATURES).astype(np.float64), documents)
+    counts, documents = np.zeros((classes, FEATURES)), np.zeros(classes)
+    for row in summed(labelled.mapInArrow(count, BLOB)).collect():
+        counts[row["slice"]], (documents[row["slice"]],) = unpack(bytes(row["blob"]))
+    model = Classifier(counts, documents)
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
-    def losses(batches):
+    def losses(batch):
         total = np.zeros(len(TEMPERATURES))
-        for batch in batches:
-            for held, label, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if held:
-                    z = shared.value.logits(text)
-                    for i, t in enumerate(TEMPERATURES):
-                        s = shared.value.prior + t * z
-                        total[i] += np.logaddexp.reduce(s) - s[label]
-        yield blobs([(0, pack(total))])
-
-    loss = sum((unpack(bytes(r["blob"]))[0] for r in labelled.mapInArrow(losses, BLOB).collect()), np.zeros(len(TEMPERATURES)))
+        for label, text in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+            z = shared.value.logits(text)
+            for i, t in enumerate(TEMPERATURES):
+                s = shared.value.prior + t * z
+                total[i] += np.logaddexp.reduce(s) - s[label]
+        return total
+
+    loss = column_sums(labelled.filter("held"), losses, len(TEMPERATURES))
     model.temperature = TEMPERATURES[int(np.argmin(loss))]
     return model
 
 
-def _added(batches, add):
-    total = None
-    for batch in batches:
-        for blob in batch.column(1):
-            own = unpack(blob.as_py())
-            total = own if total is None else add(total, own)
-    if total is not None:
-        yield blobs([(0, pack(*total))])
+def in_steps(posterior: np.ndarray) -> np.ndarray:
+    """The posterior in multiples of 1 / STEPS that add up to one, nearest below with the rest to the largest remainders."""
+    scaled = posterior * STEPS
+    whole = np.floor(scaled)
+    rest = int(round(STEPS - whole.sum()))
+    whole[np.argsort(whole - scaled, kind="stable")[:rest]] += 1
+    return whole / STEPS
 
 
 class Mixer:
@@ -125,6 +138,7 @@ class Mixer:
 
     def __init__(self, caps: np.ndarray, sizes: np.ndarray, goal: np.ndarray):
         self.caps, self.sizes, self.goal, self.steps = caps, np.maximum(sizes, 1e-9), goal, []
+        self.residual = 0.0
 
     def rates(self, member: np.ndarray) -> np.ndarray:
         """Rates of documents with these posteriors: the steps so far, projected one by one."""
@@ -138,15 +152,17 @@ class Mixer:
         """Take a step from the domains' totals; returns the largest residual against its goal."""
         residual = self.goal - totals
         self.steps.append(np.where(self.goal > 0, residual, -totals) / self.sizes)
-        return float(np.max(np.abs(residual) / np.maximum(self.goal, 1.0)))
+        self.residual = float(np.max(np.abs(residual) / np.maximum(self.goal, 1.0)))
+        return self.residual
 
 
 def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, rounds: int = 30, rank_file: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, n_tokens, rate, copies) of every document, and the shares reached:
-    (source, target_share, max_repeats, documents, available, tokens, share, own_share, expected).
+    (source, target_share, max_repeats, documents, available, tokens, share, own_share, expected, residual, rounds).
 
     documents, available and tokens are those of the source's own documents, own_share the share of their
-    tokens; share also counts the tokens of documents without a source, by their posteriors."""
+    tokens; share also counts the tokens of documents without a source, by their posteriors. residual is
+    what the fit's largest miss is against its target after ``rounds`` steps."""
     spark = documents.sparkSession
     wanted = targets.filter("source is not null").groupBy(source_key("source").alias("source"))
     wanted = wanted.agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("cap"))
@@ -174,7 +190,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, ro
                 if at >= 0:
                     member.append(np.eye(k)[at])
                 elif source in (None, "") and n and model.value is not None:
-                    member.append(model.value.posterior(body))
+                    member.append(in_steps(model.value.posterior(body)))
                 else:
                     member.append(np.zeros(k))
             flat = np.concatenate(member) if member else np.empty(0)
@@ -182,25 +198,22 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, ro
             yield pa.RecordBatch.from_arrays([ids, sources, labels, sizes, lists], names=["doc_id", "source", "label", "n_tokens", "member"])
 
     belonging = cut(sized.mapInArrow(belong, member_schema), "members")
-    matrix = belonging.select("n_tokens", "member")
+    cells = cut(belonging.groupBy("member").agg(F.sum("n_tokens").cast("double").alias("tokens")), "cells")
+
+    def totals(of, rows: DataFrame) -> np.ndarray:
+        """Tokens per domain of (member, tokens) at the rates ``of`` memberships (None: one each)."""
 
-    def totals(of, rows: DataFrame | None = None) -> np.ndarray:
-        """Tokens per domain at the rates ``of`` memberships (None: one each)."""
-        def run(batches):
-            out = np.zeros(k)
-            for batch in batches:
-                if batch.num_rows:
-                    member = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                    out += ((of(member) if of else 1.0) * batch.column(0).to_numpy()) @ member
-            yield blobs([(0, pack(out))])
+        def run(batch):
+            member = batch.column(0).flatten().to_numpy().reshape(-1, k)
+            return ((of(member) if of else 1.0) * batch.column(1).to_numpy()) @ member
 
-        return sum((unpack(bytes(r["blob"]))[0] for r in (matrix if rows is None else rows).mapInArrow(run, BLOB).collect()), np.zeros(k))
+        return column_sums(rows.select("member", "tokens"), run, k)
 
     if not k:
         empty = belonging.select("doc_id", "source", "n_tokens", F.lit(0.0).alias("rate"), F.lit(0).alias("copies"))
-        reached = wanted.select("source", F.col("share").alias("target_share"), F.col("cap").alias("max_repeats"), *[F.lit(0).alias(c) for c in ("documents", "available", "tokens")], *[F.lit(0.0).alias(c) for c in ("share", "own_share", "expected")])
+        reached = wanted.select("source", F.col("share").alias("target_share"), F.col("cap").alias("max_repeats"), *[F.lit(0).alias(c) for c in ("documents", "available", "tokens")], *[F.lit(0.0).alias(c) for c in ("share", "own_share", "expected", "residual")], F.lit(0).alias("rounds"))
         return empty, reached
-    sizes = totals(None)
+    sizes = totals(None, cells)
     there = (sizes > 0) & (share > 0)
     share_there = np.where(there, share, 0.0)
     share_there = share_there / max(share_there.sum(), 1e-12)
@@ -208,7 +221,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, ro
         total = float(np.min(caps[there] * sizes[there] / share_there[there])) if there.any() else 0.0
     mixer = Mixer(caps, sizes, share_there * total)
     for _ in range(rounds):
-        now = totals(mixer.rates) if mixer.steps else np.zeros(k)
+        now = totals(mixer.rates, cells) if mixer.steps else np.zeros(k)
         if mixer.add(now) < 1e-6:
             mixer.steps.pop()
             break
@@ -240,10 +253,10 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, ro
     copies = F.when(F.col("n_tokens") > 0, F.col("whole") + extra.cast("int")).otherwise(0)
     mixed = cut(chosen.join(limit, "label", "left").select("doc_id", "source", "label", "n_tokens", "rate", copies.alias("copies"), "member"), "mixed")
 
-    used = mixed.filter("copies > 0").select((F.col("n_tokens") * F.col("copies")).alias("n_tokens"), "member")
-    soft_shares, own_fit = (x / max(1e-9, float(x.sum())) for x in (totals(None, used), totals(mixer.rates)))
-    numbers = [(n, float(s), float(e)) for n, s, e in zip(names, soft_shares, own_fit, strict=True)]
-    numbers = spark.createDataFrame(numbers, "source string, reached double, expected double")
+    used = mixed.filter("copies > 0").groupBy("member").agg(F.sum(F.col("n_tokens") * F.col("copies")).cast("double").alias("tokens"))
+    soft_shares, own_fit = (x / max(1e-9, float(x.sum())) for x in (totals(None, used), totals(mixer.rates, cells)))
+    numbers = [(n, float(s), float(e), round(mixer.residual, 9), len(mixer.steps)) for n, s, e in zip(names, soft_shares, own_fit, strict=True)]
+    numbers = spark.createDataFrame(numbers, "source string, reached double, expected double, residual double, rounds int")
     got = mixed.filter("label >= 0").groupBy("source").agg(
         F.count("*").alias("documents"), F.sum("n_tokens").alias("available"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens")
     )
@@ -260,6 +273,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, ro
             F.round("reached", 6).alias("share"),
             F.round(F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)), 6).alias("own_share"),
             F.round("expected", 6).alias("expected"),
+            "residual",
+            "rounds",
         )
     )
     return mixed.select("doc_id", "source", "n_tokens", "rate", "copies"), reached
