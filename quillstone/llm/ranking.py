@@ -8,7 +8,10 @@ first. The weakest score decides, so no strong score can mask it; among equals t
 A group may hold a third of all rows, so no group is ever ranked in one task. Values are first
 aggregated to distinct ones with their frequency and laid out in ranges over (group, score, value)
 across partitions; each range counts for itself, and the counts of the ranges before it in the same
-group, a few rows per range, are added. Final ranks are found in the same way.
+group, a few rows per range, are added. Final ranks are found in the same way. Percentiles return to
+the items by a join on group and value: values that more than one item in a thousand has are few (a
+thousand per score at most) and are broadcast, and items that need no join any more, or have no value,
+are spread by their hash, so no common value and no gap is a hot key.
 
 Cases: a null or non-finite score, or one the caller has set to null as a placeholder, stands at the
 middle (0.5) and takes no part in the others' percentiles; a single known value has percentile 0.5;
@@ -47,8 +50,10 @@ def counted_before(df: DataFrame, keys: list[str], order: list, weight: str, nam
     return joined.select("l.*", (F.col("l.inside") + F.col("p.earlier")).alias("before"), "p.total").drop("inside", "range")
 
 
-def leximin(items: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
-    """(group, item, percentiles, vector, rank): ``percentiles`` in the order of ``scores``, ``vector`` ascending."""
+def leximin(items: DataFrame, group: str, item: str, scores: list[str], common: int = 10_000) -> DataFrame:
+    """(group, item, percentiles, vector, rank): ``percentiles`` in the order of ``scores``, ``vector`` ascending.
+
+    ``common`` is the least number of items from which a value counts as common."""
     def known(c: str):
         value = F.col(c).cast("double")
         return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value + 0.0)
@@ -57,12 +62,21 @@ def leximin(items: DataFrame, group: str, item: str, scores: list[str]) -> DataF
     long = items.select(group, F.posexplode(F.array(*scores)).alias("score", "value")).filter("value is not null")
     values = long.groupBy(group, "score", "value").agg(F.count("*").alias("n"))
     placed = counted_before(values, [group, "score"], [F.col("value")], "n", "values")
-    share = placed.select(group, "score", "value", ((F.col("before") + F.col("n") / 2) / F.col("total")).alias("percentile"))
+    share = placed.select(group, "score", "value", "n", ((F.col("before") + F.col("n") / 2) / F.col("total")).alias("percentile"))
     share = cut(share, "percentiles")
+    hot = F.col("n") > max(common, items.count() // 1_000)
     out = items
     for i, c in enumerate(scores):
-        one = share.filter(F.col("score") == i).select(F.col(group).alias("__g"), F.col("value").alias("__v"), F.col("percentile").alias(f"__p{i}"))
-        out = out.join(one, F.col(group).eqNullSafe(F.col("__g")) & (F.col(c) == F.col("__v")), "left").drop("__g", "__v")
+        given = share.filter(F.col("score") == i)
+        names = lambda v, p: (F.col(group).alias("__g"), F.col("value").alias(v), F.col("percentile").alias(p))
+        often = F.broadcast(given.filter(hot).select(*names("__h", "__q")))
+        out = out.join(often, F.col(group).eqNullSafe(F.col("__g")) & (F.col(c) == F.col("__h")), "left").drop("__g", "__h")
+        # rows with nothing to look up get a salt that no value has
+        done = F.col(c).isNull() | F.col("__q").isNotNull()
+        salt = F.when(done, 1 + F.pmod(F.xxhash64(item), F.lit(1 << 20))).otherwise(0)
+        rare = given.filter(~hot).select(*names("__v", "__r"), F.lit(0).cast("long").alias("__z"))
+        out = out.withColumn("__s", salt).join(rare, F.col(group).eqNullSafe(F.col("__g")) & (F.coalesce(c, F.lit(0.0)) == F.col("__v")) & (F.col("__s") == F.col("__z")), "left")
+        out = out.withColumn(f"__p{i}", F.coalesce("__q", "__r")).drop("__g", "__v", "__z", "__q", "__r", "__s")
     percentiles = F.array(*[F.round(F.coalesce(f"__p{i}", F.lit(0.5)), 9) for i in range(len(scores))])
     out = out.select(group, item, percentiles.alias("percentiles")).withColumn("vector", F.array_sort("percentiles")).withColumn("one", F.lit(1))
     order = [F.desc("vector"), F.asc(item)]

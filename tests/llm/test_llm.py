@@ -365,6 +365,21 @@ def test_leximin_against_plain_code(spark):
     assert ranking.leximin(df.limit(0), "g", "item", ["a", "b"]).count() == 0
 
 
+def test_leximin_with_a_common_value(spark):
+    rng = random.Random(8)
+    rows = [(i, "hot" if i % 3 else "x", 5.0 if rng.random() < 0.9 else rng.random() * 10, None if rng.random() < 0.7 else float(rng.randint(1, 4)), "clash") for i in range(900)]
+    df = spark.createDataFrame(rows, "item long, g string, a double, b double, value string")
+    found = [{tuple(r) for r in ranking.leximin(df, "g", "item", ["a", "b"], common).select("item", "rank", F.array_join("percentiles", " ")).collect()} for common in (10_000, 20)]
+    assert found[0] == found[1] and len(found[0]) == 900
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = ranking.leximin(df, "g", "item", ["a", "b"], 20)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # shuffled joins hash the salt as well
+    assert all("__s" in line for line in plan.splitlines() if "hashpartitioning" in line and "__" in line and "__z" not in line)
+
+
 # subjects
 
 
