@@ -43,10 +43,17 @@ def p2_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.crossJoin(F.broadcast(total)).select("subject", "books", F.round(F.col("weight") / F.col("total"), 6).alias("share"))
 
 
+def p3_near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_duplicates(table(spark, sf_dir, "books"), "book_id", "books_intro", ["title", "books_intro", "author_intro"])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = ["title", "books_intro", "author_intro"]
-    pairs, members = neardup.near_duplicates(table(spark, sf_dir, "books"), "book_id", "books_intro", parts)
-    return setjoin.expanded(pairs, members).select(F.col("a").alias("book_a"), F.col("b").alias("book_b"))
+    return setjoin.expanded(*p3_near(spark, sf_dir)).select(F.col("a").alias("book_a"), F.col("b").alias("book_b"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every book that takes part, by its smallest book, and the number of books it is linked with."""
+    return neardup.near_groups(*p3_near(spark, sf_dir)).select(F.col("record").alias("book_id"), F.col("group").alias("group_id"), "links")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +135,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_composition": p2_composition,
     "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_top_terms": p5_top_terms,
@@ -195,16 +203,24 @@ _UNIT = """usable as (
     where len(embedding) = 128 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), units as materialized (select book_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from usable)"""
 
-ORACLE_SQL: dict[str, str] = {
-    "p3_found": f"""with joined as (
+_NEAR = f"""with recursive joined as (
     select book_id, regexp_replace({_folded("concat(title, books_intro, author_intro)")}, '[^\\p{{L}}\\p{{N}}]+', '', 'g') as t
     from (select distinct on (book_id) * from books) where trim(books_intro) <> ''
 ), grams as materialized (
     select book_id, unnest(list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4)))) as g from joined where length(t) >= 80
 ), sizes as (select book_id, count(*) as n from grams group by all), shared as (
     select a.book_id as book_a, b.book_id as book_b, count(*) as met from grams a join grams b on a.g = b.g and a.book_id < b.book_id group by all
+), pairs as materialized (
+    select book_a, book_b from shared join sizes a on a.book_id = book_a join sizes b on b.book_id = book_b where met >= 0.6 * (a.n + b.n - met)
+)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p3_found": f"{_NEAR} select book_a, book_b from pairs",
+    "p3_groups": f"""{_NEAR}, edges as (select book_a as a, book_b as b from pairs union all select book_b, book_a from pairs), reached as (
+    select book_id as a, book_id as b from sizes union select r.a, e.b from reached r join edges e on r.b = e.a
 )
-select book_a, book_b from shared join sizes a on a.book_id = book_a join sizes b on b.book_id = book_b where met >= 0.6 * (a.n + b.n - met)""",
+select book_id, group_id, cast(coalesce(links, 0) as bigint) as links from (select a as book_id, min(b) as group_id from reached group by a)
+left join (select a as book_id, count(*) as links from edges group by a) using (book_id)""",
     "p5_found": f"""with listed as (
     select distinct book_id, unnest({_normal_list("keywords")}) as term from books
 ), few as (select term from listed group by term having count(*) between 2 and 8), texts as (

@@ -86,15 +86,48 @@ def test_near_duplicate_cases(books):
     assert near_found(books([])) == set()
 
 
-def test_incremental_overlap():
-    rng = np.random.default_rng(1)
-    for _ in range(50):
-        x = np.unique(rng.integers(0, 300, 150))
-        z = np.unique(rng.integers(0, 300, 150))
-        y = np.unique(np.r_[z[3:], rng.integers(0, 300, 3)])
-        answers = []
-        assert neardup.incremental(x, z, answers) == len(np.intersect1d(x, z))
-        assert neardup.incremental(x, y, answers) == len(np.intersect1d(x, y))
+def test_near_duplicates_derived_from_leaders(books, monkeypatch):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    base = [text(80) for _ in range(6)]
+    base += [b[:300] + text(9) for b in base]
+    texts = [b[:k] + "z" + b[k + 1 :] for b in base for k in (50, 150, 250, 420)] + [b + text(n) for b in base for n in (1, 2)] + base
+    rows = [{"book_id": 7 * i + 3, "title": "T", "books_intro": t} for i, t in enumerate(texts)]
+    grams = {r["book_id"]: {c[i : i + 4] for i in range(len(c) - 3)} for r in rows for c in [neardup.clean("T" + r["books_intro"])]}
+    want = {(i, j) for i, j in combinations(sorted(grams), 2) if len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.6}
+    whole = near_found(books(rows))
+    assert whole == want and len(want) > 200
+    led = neardup.led(neardup.cleaned(books(rows), "book_id", "books_intro", ["title", "books_intro"], 80)).collect()
+    assert sum(r["record"] != r["lead"] for r in led) > 10 and len(led) == len(rows)
+    # a signature, an n-gram and a list of many records, in parts
+    for name, value in (("LED", 2), ("BLOCK", 8), ("LIST_BLOCK", 4)):
+        monkeypatch.setattr(neardup, name, value)
+    assert near_found(books(rows)) == want
+    pairs, members = neardup.near_duplicates(books([*rows, {"book_id": 1, "title": "T", "books_intro": texts[0]}, {"book_id": 2, "books_intro": text(40)}]), "book_id", "books_intro", ["title", "books_intro"])
+    linked = want | {(1, 3)} | {(1, b) for a, b in want if a == 3} | {(1, a) for a, b in want if b == 3}
+    root = {i: i for i in [*grams, 1, 2]}
+    for _ in root:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["record"]: (r["group"], r["links"]) for r in neardup.near_groups(pairs, members).collect()}
+    assert got == {i: (root[i], sum(i in p for p in linked)) for i in root}
+
+
+def test_slice_candidates_lose_nothing():
+    rng = np.random.default_rng(2)
+    base = [np.unique(rng.integers(0, 4_000, 150)) for _ in range(30)]
+    sets = [np.unique(np.r_[b[k:], rng.integers(0, 4_000, 2 * k)]).astype(np.uint64) for b in base for k in (0, 3, 9, 20)]
+    sizes, radius = np.array([len(x) for x in sets]), np.array([0.05 if i % 9 == 0 else 0.0 for i in range(len(sets))])
+    bounds = neardup.Bounds(0.6)
+    codes = neardup.one_bit_minhashes(np.concatenate(sets), np.r_[0, np.cumsum(sizes)[:-1]], neardup.CODE_BITS)
+    prefix = bounds.prefix(sizes, radius)
+    entries = [(int(t), i, len(x) - at) for i, x in enumerate(sets) for at, t in enumerate(x.tolist()) if at < prefix[i]]
+    i, j, _ = neardup.slice_candidates(tuple(np.array(c) for c in zip(*entries, strict=True)), sizes, radius, codes, bounds)
+    found = {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    for a, b in combinations(range(len(sets)), 2):
+        both = neardup.overlap(sets[a], sets[b])
+        if both / (sizes[a] + sizes[b] - both) >= 0.6 - radius[a] - radius[b]:
+            assert (a, b) in found
 
 
 # names
