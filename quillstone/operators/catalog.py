@@ -11,8 +11,8 @@ ORDERS = {"rating": "rating", "newest": "publication_date"}
 
 
 def matches(search: str) -> Column:
-    """Title or an author contains the text, in any case; % and _ in it are wildcards."""
-    pattern = f"%{search.lower()}%"
+    """Title or an author contains the text, in any case; % and _ in it are wildcards, a backslash is itself."""
+    pattern = "%" + search.lower().replace("\\", "\\\\") + "%"
     return F.coalesce(F.lower("title").like(pattern), F.lit(False)) | F.coalesce(F.exists("authors", lambda a: F.lower(a).like(pattern)), F.lit(False))
 
 
@@ -29,6 +29,22 @@ def page(books: DataFrame, number: int = 1, per_page: int = 20, order: str | Non
     return found.select(*LIST).orderBy(*order_by(order)).offset((number - 1) * per_page).limit(per_page)
 
 
+def page_after(books: DataFrame, last: tuple | None = None, per_page: int = 20, order: str | None = None, search: str | None = None) -> DataFrame:
+    """The page that follows the row ``last``: (id,) or, with an order, (value, id) of the page before; the first
+    page without. However deep, only one page of rows is kept, where ``page`` keeps all before it as well."""
+    found = books if not search else books.filter(matches(search))
+    column = ORDERS.get(order or "")
+    if last is not None:
+        after = F.col("book_id") > last[-1]
+        if column and last[0] is None:
+            after = F.col(column).isNull() & after
+        elif column:
+            value = F.lit(last[0])
+            after = (F.col(column) < value) | F.col(column).isNull() | ((F.col(column) == value) & after)
+        found = found.filter(after)
+    return found.select(*LIST).orderBy(*order_by(order)).limit(per_page)
+
+
 def count(books: DataFrame, search: str | None = None, per_page: int = 20) -> DataFrame:
     """One row: total and the number of pages."""
     found = books if not search else books.filter(matches(search))

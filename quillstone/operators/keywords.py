@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import is_term, split_tokens
+from quillstone.functions.segment import GRAPH_POS, KEYWORD_POS, Segmenter, kept_words, pieces
+from quillstone.functions.side import side_rows
+from quillstone.functions.text import is_term
+from quillstone.storage import cut
 
 _RANKED = pa.schema([("id", pa.int64()), ("term", pa.string()), ("score", pa.float64()), ("position", pa.int32())])
 
@@ -17,29 +21,43 @@ _RANKED = pa.schema([("id", pa.int64()), ("term", pa.string()), ("score", pa.flo
 _TF = pa.schema([("id", pa.int64()), ("term", pa.string()), ("tf", pa.int64())])
 
 
-def _stop_set(stop_words: DataFrame | None) -> set[str]:
-    """The stop words as a set: a short side input that travels with the plan."""
-    return set() if stop_words is None else {r["word"].strip().lower() for r in stop_words.select("word").filter("word is not null").collect()}
+def _stop_set(df: DataFrame, stop_words: DataFrame | None):
+    """The stop words as a broadcast set, a side input checked for its size."""
+    words = set() if stop_words is None else {r["word"].strip().lower() for r in side_rows(stop_words.select("word").filter("word is not null"))}
+    return df.sparkSession.sparkContext.broadcast(words)
 
 
-def terms(df: DataFrame, id_col: str, text: Column, stop_words: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf) of every record; tokens of one character do not count.
+def terms(
+    df: DataFrame,
+    id_col: str,
+    text: Column,
+    stop_words: DataFrame | None = None,
+    segmenter: Callable[[], Segmenter] = pieces,
+    allowed: tuple[str, ...] | None = KEYWORD_POS,
+    digits: bool = True,
+) -> DataFrame:
+    """(id, term, tf) of every record; words of one character do not count, nor those whose part of speech
+    begins with no ``allowed`` code; numbers count with ``digits``.
 
-    A record's counts come from its own text, so they are final where the record lies: no shuffle."""
-    stop = _stop_set(stop_words)
+    A record's counts come from its own text, so they are final where the record lies: no shuffle. The
+    texts are segmented once: the counts are kept as a table, for all that is made of them."""
+    stop = _stop_set(df, stop_words)
 
     def run(batches):
+        segment = segmenter()
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in _TF}
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w, n in Counter(split_tokens(t)).items():
-                    if len(w) > 1 and w not in stop:
-                        out["id"].append(i)
-                        out["term"].append(w)
-                        out["tf"].append(n)
+                words = list(segment(t or ""))
+                numbers = [w for w, _ in words if digits and w.isdigit() and len(w) > 1 and w not in stop.value]
+                for w, n in Counter(kept_words(words, stop.value, allowed) + numbers).items():
+                    out["id"].append(i)
+                    out["term"].append(w)
+                    out["tf"].append(n)
             yield pa.RecordBatch.from_pydict(out, schema=_TF)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(run, "id long, term string, tf long")
+    kept = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    return cut(kept.mapInArrow(run, "id long, term string, tf long"), "keyword-terms")
 
 
 def tfidf(tf: DataFrame, documents: DataFrame, min_df: int = 2, max_df: float = 0.85, max_features: int = 5_000) -> DataFrame:
@@ -103,22 +121,31 @@ def rank_graph(words: list[str], window: int = 5, rounds: int = 30, damping: flo
     return {w: float(score[i] / top) for w, i in index.items()}
 
 
-def textrank(df: DataFrame, id_col: str, text: Column, k: int, stop_words: DataFrame | None = None) -> DataFrame:
+def graph_terms(words: list[tuple[str, str | None]], stop: set[str], k: int, digits: bool = True) -> list[tuple[str, float]]:
+    """The k best cleaned words of a text's own graph, out of 2k; numbers take part in the graph with ``digits``."""
+    kept = [(w, None if digits and w.isdigit() else pos) for w, pos in words]
+    graph = [w for w, pos in kept if len(w) > 1 and w not in stop and (pos is None or pos in GRAPH_POS) and (digits or not w.isdigit())]
+    ranked = sorted((-round(s, 6), w) for w, s in rank_graph(graph).items())[: 2 * k]
+    return [(w, -s) for s, w in ranked if not w.isdigit()][:k]
+
+
+def textrank(
+    df: DataFrame, id_col: str, text: Column, k: int, stop_words: DataFrame | None = None, segmenter: Callable[[], Segmenter] = pieces
+) -> DataFrame:
     """(id, term, score, position): the k best cleaned terms of each record's own word graph, out of 2k; ties by term.
 
     One record's graph is bounded by its text, so it is ranked where the record lies, without a shuffle."""
-    stop = _stop_set(stop_words)
+    stop = _stop_set(df, stop_words)
 
     def run(batches):
+        segment = segmenter()
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in _RANKED}
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kept = [w for w in split_tokens(t) if len(w) > 1 and w not in stop]
-                ranked = sorted(((-round(s, 6), w) for w, s in rank_graph(kept).items()))[: 2 * k]
-                for position, (s, w) in enumerate([x for x in ranked if not x[1].isdigit()][:k], 1):
+                for position, (w, s) in enumerate(graph_terms(list(segment(t or "")), stop.value, k), 1):
                     out["id"].append(i)
                     out["term"].append(w)
-                    out["score"].append(-s)
+                    out["score"].append(s)
                     out["position"].append(position)
             yield pa.RecordBatch.from_pydict(out, schema=_RANKED)
 
@@ -136,14 +163,50 @@ def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     ]
     summed = weighted[0].unionByName(weighted[1]).groupBy("id", "term").agg(F.sum("score").alias("score"), F.min("seen").alias("seen"))
     order = Window.partitionBy("id").orderBy(F.desc("score"), "seen")
-    cut = summed.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
-    return cut.filter(is_term(F.col("term"))).select("id", "term", "score", "position")
+    best = summed.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+    return best.filter(is_term(F.col("term"))).select("id", "term", "score", "position")
 
 
-def extract(books: DataFrame, text: Column, k: int = 10, stop_words: DataFrame | None = None, id_col: str = "book_id") -> DataFrame:
+def fused(first: list[str], second: list[str], k: int) -> list[str]:
+    """``fuse`` for two lists that are at hand."""
+    score: dict[str, int] = {}
+    for words, weight in ((first, 2), (second, 1)):
+        for i, w in enumerate(words):
+            score[w] = score.get(w, 0) + weight * (len(words) - i)
+    return [w for w in sorted(score, key=score.get, reverse=True)[:k] if len(w) > 1 and not w.isdigit()]
+
+
+def of_single_texts(
+    df: DataFrame, id_col: str, text: Column, k: int = 10, stop_words: DataFrame | None = None, segmenter: Callable[[], Segmenter] = pieces
+) -> DataFrame:
+    """(id, keywords): of each text by itself, without the collection: the 2k most frequent words, ties by first
+    appearance, fused with the 2k best of its word graph. No shuffle."""
+    stop = _stop_set(df, stop_words)
+
+    def run(batches):
+        segment = segmenter()
+        for batch in batches:
+            found = []
+            for t in batch.column(1).to_pylist():
+                words = list(segment(t or ""))
+                frequent = [w for w, _ in Counter(kept_words(words, stop.value, KEYWORD_POS)).most_common(2 * k)]
+                found.append(fused(frequent, [w for w, _ in graph_terms(words, stop.value, 2 * k, False)], k))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["id", "keywords"])
+
+    kept = df.select(F.col(id_col).alias("id"), text.alias("text"))
+    kind = kept.schema["id"].dataType.simpleString()
+    return kept.mapInArrow(run, f"id {kind}, keywords array<string>").withColumnRenamed("id", id_col)
+
+
+def of_single_books(books: DataFrame, k: int = 10, stop_words: DataFrame | None = None, segmenter: Callable[[], Segmenter] = pieces) -> DataFrame:
+    """(book_id, keywords) of each book by itself, from its title and both intros."""
+    return of_single_texts(books, "book_id", F.concat_ws(" ", "title", "book_intro", "author_intro"), k, stop_words, segmenter)
+
+
+def extract(books: DataFrame, text: Column, k: int = 10, stop_words: DataFrame | None = None, id_col: str = "book_id", segmenter: Callable[[], Segmenter] = pieces) -> DataFrame:
     """(id, keywords): fused TF-IDF and TextRank keywords of every book; books without any get an empty list."""
-    tf = terms(books, id_col, text, stop_words)
-    ranked = fuse(top_terms(tfidf(tf, books), k), textrank(books, id_col, text, k, stop_words), k)
+    tf = terms(books, id_col, text, stop_words, segmenter)
+    ranked = fuse(top_terms(tfidf(tf, books), k), textrank(books, id_col, text, k, stop_words, segmenter), k)
     lists = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("position", "term"))).alias("x"))
     lists = lists.select(F.col("id").alias(id_col), F.col("x.term").alias("keywords"))
     return books.select(id_col).join(lists, id_col, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
@@ -153,5 +216,3 @@ def summary(books: DataFrame, column: str = "keywords") -> DataFrame:
     """One row: books, mean number of keywords, books without any."""
     size = F.size(F.coalesce(column, F.array().cast("array<string>")))
     return books.agg(F.count("*").alias("total"), F.round(F.avg(size), 4).alias("mean_keywords"), F.count_if(size == 0).alias("without"))
-
-

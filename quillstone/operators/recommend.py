@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillstone.config import Scoring
 from quillstone.operators.ranking import rank, with_utility
 from quillstone.operators.similarity import overlap_coefficient
+from quillstone.storage import cut
 
 META = ["title", "rating", "publication_date", "cover_image", "publisher", "domain_tags"]
 DIGITS = 6
@@ -166,12 +167,17 @@ def _best_pairs(a: list, b: list) -> np.ndarray:
     return out
 
 
-def batch_topk(books: DataFrame, queries: Column, k: int = 10, scoring: Scoring = Scoring(), block: int = 1_024) -> DataFrame:
+#: bytes of query books that travel to the tasks at once
+ROUND_BYTES = 64 << 20
+
+
+def batch_topk(books: DataFrame, queries: Column, k: int = 10, scoring: Scoring = Scoring(), block: int = 1_024, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """(book_id, neighbour_id, final_score, position): the k best cross-domain books for every query book.
 
-    A stated query set against all rows, in blocks: query books are packed into blocks, every block
-    meets every partition of the catalogue once, scores are matrix products, and only k rows per query
-    and partition leave it. Neither side is collected, and no pair is ever a row."""
+    A stated query set against all rows, in rounds: query books are packed into blocks, and as many blocks
+    as fit ``round_bytes`` are broadcast; the catalogue streams past them once per round, scores are
+    matrix products, and only k rows per query and batch leave it. No pair is ever a row, and the driver
+    holds one round's blocks."""
     feats = books.select(*_INPUT)
 
     def packed(batches):
@@ -181,18 +187,38 @@ def batch_topk(books: DataFrame, queries: Column, k: int = 10, scoring: Scoring
                 some = rows[lo : lo + block]
                 yield pa.RecordBatch.from_pydict({"block": [some[0]["book_id"]], "data": [pickle.dumps(some)]}, schema=_BLOCK)
 
-    asked = feats.filter(queries).mapInArrow(packed, "block long, data binary").select(F.col("data").alias("queries"))
-    held = feats.mapInArrow(packed, "block long, data binary")
+    asked = cut(feats.filter(queries).mapInArrow(packed, "block long, data binary"), "query-blocks")
     schema = pa.schema([("book_id", pa.int64()), ("neighbour_id", pa.int64()), ("final_score", pa.float64())])
 
-    def score(batches):
-        for batch in batches:
-            for q, d in zip(batch.column(0), batch.column(1), strict=True):
-                yield _score_block(pickle.loads(q.as_py()), pickle.loads(d.as_py()), k, scoring, schema)
-
-    pairs = held.select("data").crossJoin(asked).select("queries", "data")
     w = Window.partitionBy("book_id").orderBy(F.desc("final_score"), "neighbour_id")
-    best = pairs.mapInArrow(score, "book_id long, neighbour_id long, final_score double")
+
+    def one_round(some: list[bytes], last: bool) -> DataFrame:
+        shared = books.sparkSession.sparkContext.broadcast(some)
+
+        def score(batches):
+            blocks = [pickle.loads(b) for b in shared.value]
+            for batch in batches:
+                rows = batch_features(batch)
+                for lo in range(0, len(rows), block):
+                    for q in blocks:
+                        yield _score_block(q, rows[lo : lo + block], k, scoring, schema)
+
+        found = feats.mapInArrow(score, "book_id long, neighbour_id long, final_score double")
+        if not last:
+            found = cut(found.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k).drop("position"), "round")
+            shared.destroy()
+        return found
+
+    rounds, held, size = [], [], 0
+    for row in asked.select("data").toLocalIterator():
+        if held and size + len(row["data"]) > round_bytes:
+            rounds.append(one_round(held, False))
+            held, size = [], 0
+        held.append(bytes(row["data"]))
+        size += len(row["data"])
+    best = one_round(held, True)
+    for other in rounds:
+        best = best.unionByName(other)
     return best.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.side import side_rows
 from quillstone.functions.text import normalise_lower
 
 OTHER = "其他"
@@ -32,14 +33,15 @@ def lexicon_scores(df: DataFrame, id_col: str, text: Column, lexicon: DataFrame,
     """(id, domain_idx, score): occurrences, without overlap per entry, of each domain's entries in the text.
 
     Entries that repeat count again, and entries inside others count too. One pass of an automaton
-    finds all entries; the lexicon is a bounded side input. With ``word_boundary`` entries of Latin
+    finds all entries; the lexicon is a side input, checked for its size and broadcast. With ``word_boundary`` entries of Latin
     letters have to stand alone."""
     weights: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-    for r in lexicon.select("domain_idx", F.lower("keyword").alias("keyword")).filter("keyword <> ''").collect():
+    for r in side_rows(lexicon.select("domain_idx", F.lower("keyword").alias("keyword")).filter("keyword <> ''")):
         weights[r["keyword"]][r["domain_idx"]] += 1
-    entries = {k: dict(v) for k, v in weights.items()}
+    shared = df.sparkSession.sparkContext.broadcast({k: dict(v) for k, v in weights.items()})
 
     def run(batches):
+        entries = shared.value
         automaton = ahocorasick.Automaton()
         for k in entries:
             automaton.add_word(k, k)

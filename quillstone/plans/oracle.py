@@ -127,6 +127,8 @@ _RECS = "r as (select distinct on (rec_id) * from recommendations)"
 _PERCENT = "cast(count(*) as bigint) as n, round(count(*) / (select count(*) from books) * 100, 2) as percent"
 _LIST_LENGTH = "cast(case when starts_with(trim({0}), '[') and json_valid({0}) then json_array_length({0}) else 0 end as int) as n_{0}"
 
+_MODEL = [f"cast({x} as double)" for x in ("length(coalesce({0}, '')) * (trim(coalesce({0}, '')) <> '')::int", "length(coalesce({0}, '')) - length(replace(coalesce({0}, ''), 'a', ''))")]
+
 SQL: dict[str, str] = {
     "semantic_topk": f"{ONE} select book_id, semantic_similarity from scored order by semantic_similarity desc, book_id limit 10",
     "pair_scores": f"""{ONE} select book_id, semantic_similarity, keyword_similarity, combined_similarity, overlap_count, overlap_coefficient,
@@ -192,6 +194,28 @@ SQL: dict[str, str] = {
     "lexicon_tags": f"{_LEX} select book_id, array_to_string(tags, '|') as tags from tagged",
     "lexicon_tag_statistics": f"{_LEX} select tag, {_PERCENT} from (select unnest(tags) as tag from tagged) group by tag",
     "tfidf_topk": f"{_TERMS} select book_id, term, score, position from tfidf",
+    "catalog_deep_page": "select book_id, title, rating from books order by rating desc nulls last, book_id limit 20 offset 20",
+    "segment_terms": f"""with {_BOOKS}, words as (
+        select book_id, unnest(regexp_extract_all(lower({_PLAIN.format("(" + _KEYWORD_TEXT + ")")}), '[a-z0-9]+')) as term from b
+    ) select book_id, term, count(*) as tf from words where length(term) > 1 and regexp_full_match(term, '[a-z]+')
+        and term not in (select lower(trim(word)) from stop_words where word is not null) group by all""",
+    "model_embedding": f"""select book_id, {_MODEL[0].format("books_intro")} as first, {_MODEL[1].format("books_intro")} as second from books""",
+    "model_keyword_vectors": f"""select book_id, array_to_string(list_transform(list_filter(coalesce(keywords, []), lambda k: trim(k) <> ''),
+        lambda k: concat(cast({_MODEL[0].format("k")} as int), ':', cast({_MODEL[1].format("k")} as int))), '|') as vectors from books""",
+    "embedding_update": "select book_id, cast(case when book_id % 4 = 0 then 2 else coalesce(len(embedding), 0) end as int) as length from books",
+    "feature_columns": """select 'lacking' as source, count(*) as books, 0 as vectors, 0 as keyword_vectors from books
+        union all select 'whole', count(*), count(embedding), count(keywords_embeddings) from books""",
+    "source_formats": """select kind, count(*) as books, cast(sum(book_id) as bigint) as ids, count(title) as titles, cast(sum(coalesce(len(keywords), 0)) as bigint) as keywords,
+        cast(sum(coalesce(len(domain_tags), 0)) as bigint) as tags, count(publication_date) as dates, round(sum(rating), 4) as ratings
+        from books, (values ('parquet'), ('orc'), ('json'), ('csv')) as k(kind) group by kind""",
+    "lexicon_file": "select domain_idx, domain, kw_idx, keyword from domain_lexicon",
+    "stop_words_file": """select distinct unnest([trim(word), lower(trim(word))]) as word from stop_words where trim(word) <> ''""",
+    "loaded_table": """with f as (select * from books order by book_id limit 100)
+        select (select count(*) from books) as books, (select string_agg(title, '|' order by book_id) from (select * from f order by book_id limit 3)) as preview,
+        cast((select count(distinct tag) from (select unnest(domain_tags) as tag from f)) as int) as tags""",
+    "response_metadata": f"{ONE} select count(*) as total_candidates, 0.25::double as beta from scored where overlap_coefficient > 0",
+    "pair_by_ids": f"""{ONE} select semantic_similarity, keyword_similarity, combined_similarity, overlap_count, overlap_coefficient, final_score
+        from scored where book_id = (select min(book_id) from books where book_id % 7 = 0 and book_id <> {TARGET})""",
     "tf_keywords": f"{_TERMS} select book_id, term, score, position from frequent",
     "keyword_fusion": f"""{_TERMS}, lists as (
         select book_id, term, 2 * (count(*) over (partition by book_id) - position + 1) as s, position as seen from tfidf

@@ -32,4 +32,6 @@ def run_summary(books: DataFrame) -> DataFrame:
         filled("keywords").alias("with_keywords"),
         filled("domain_tags").alias("with_tags"),
         F.count_if(F.exists("embedding", lambda x: x != 0)).alias("with_embedding"),
+        filled("keywords_embeddings").alias("with_keyword_vectors"),
+        F.sum(F.greatest(F.coalesce(F.size("keywords_embeddings"), F.lit(0)), F.lit(0))).alias("keyword_vectors"),
     )

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.config import Scoring
 from quillstone.functions.dates import parse_date
+from quillstone.functions.segment import pieces
+from quillstone.functions.side import side_rows
 from quillstone.functions.text import clean_terms, embedding_text, keyword_text, normalise, normalise_lower
-from quillstone.operators import catalog, embeddings, keywords, ranking, recommend, tags
+from quillstone.operators import catalog, embeddings, keywords, ranking, recommend, similarity, tags
 from quillstone.plans.pipeline import enrich, run_summary
-from quillstone.schema import canonical, decode_list
-from quillstone.sources.books import updated
+from quillstone.schema import canonical, decode_list, with_feature_columns
+from quillstone.sources.books import FILES, append, create_table, read_books, updated, verify_load, write_books
+from quillstone.storage import own_dir
 from quillstone.streaming.enrich import requests_per_window
 
 AS_OF = "2026-01-01"
@@ -109,9 +115,17 @@ def hot_list(spark, sf_dir):
 
 
 def selected_first(spark, sf_dir):
+    """The first page with a book of it moved to the front, numbered as it stands."""
     page = catalog.page(books(spark, sf_dir), 1, 20)
-    w = Window.orderBy(F.desc(F.col("book_id") == 1010), "book_id")  # one page of 20 rows
-    return page.select("book_id", F.row_number().over(w).alias("position"))
+    rows = catalog.selected_first(page, 1010).select("book_id").collect()  # one page of 20 rows
+    return spark.createDataFrame([(r["book_id"], i) for i, r in enumerate(rows, 1)], "book_id long, position int")
+
+
+def catalog_deep_page(spark, sf_dir):
+    """The second page by rating, reached from the last row of the first."""
+    found = books(spark, sf_dir)
+    last = catalog.page_after(found, None, 20, "rating").select("rating", "book_id").collect()[-1:]
+    return catalog.page_after(found, tuple(last[0]) if last else None, 20, "rating").select("book_id", "title", "rating")
 
 
 def display_lists(spark, sf_dir):
@@ -207,6 +221,18 @@ def _terms(spark, sf_dir):
     return keywords.terms(books(spark, sf_dir), "book_id", keyword_text(), read(spark, sf_dir, "stop_words"))
 
 
+def segment_terms(spark, sf_dir):
+    """Terms by a segmenter that knows Latin words from everything else, of the allowed parts of speech only."""
+    latin = lambda: lambda text: [(w, "eng" if w.isalpha() and w.isascii() else "x") for w, _ in pieces()(text)]
+    found = keywords.terms(books(spark, sf_dir), "book_id", keyword_text(), read(spark, sf_dir, "stop_words"), latin, ("eng",), digits=False)
+    return found.withColumnRenamed("id", "book_id")
+
+
+def single_book_keywords(spark, sf_dir):
+    found = keywords.of_single_books(books(spark, sf_dir), 10, read(spark, sf_dir, "stop_words"))
+    return found.select("book_id", F.array_join("keywords", "|").alias("keywords"))
+
+
 def tfidf_topk(spark, sf_dir):
     weights = keywords.tfidf(_terms(spark, sf_dir), books(spark, sf_dir))
     return keywords.top_terms(weights, 10).withColumnRenamed("id", "book_id")
@@ -243,6 +269,105 @@ def hashed_embedding(spark, sf_dir):
     return made.select("doc_id", F.size(F.filter("embedding", lambda x: x > 0)).alias("used"), F.round(F.array_max("embedding"), 6).alias("largest"))
 
 
+def model_embedding(spark, sf_dir):
+    """Document vectors by a model that is a function of the text: its length, and the number of its Latin a."""
+    factory = lambda: lambda texts: [[float(len(t)), float(t.count("a"))] for t in texts]
+    made = embeddings.encode_texts(books(spark, sf_dir), "book_id", F.col("book_intro"), factory, 2)
+    return made.select("book_id", F.col("embedding")[0].alias("first"), F.col("embedding")[1].alias("second"))
+
+
+def model_keyword_vectors(spark, sf_dir):
+    """Keyword vectors by a model, each different keyword encoded once, and back in keyword order."""
+    found = books(spark, sf_dir)
+    factory = lambda: lambda texts: [[float(len(t)), float(t.count("a"))] for t in texts]
+    distinct = found.select(F.explode("keywords").alias("keyword")).filter("trim(keyword) <> ''").distinct()
+    vectors = embeddings.encode_texts(distinct, "keyword", F.col("keyword"), factory, 2).withColumnRenamed("embedding", "vector")
+    made = embeddings.keyword_vectors(found, vectors)
+    flat = F.transform("keywords_embeddings", lambda v: F.concat_ws(":", v[0].cast("int"), v[1].cast("int")))
+    return made.select("book_id", F.array_join(flat, "|").alias("vectors"))
+
+
+def embedding_update(spark, sf_dir):
+    """Vectors of the books with even id replaced, where the new one is not empty; the rest as they were."""
+    found = books(spark, sf_dir)
+    new = F.when(F.col("book_id") % 4 == 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array().cast("array<double>"))
+    changed = updated(found, found.filter("book_id % 2 = 0").select("book_id", new.alias("embedding")), ["embedding"])
+    return changed.select("book_id", F.coalesce(F.size("embedding"), F.lit(0)).alias("length"))
+
+
+def feature_columns(spark, sf_dir):
+    """A table without vector columns gets them, empty; one that has them is left alone."""
+    found = books(spark, sf_dir)
+    lacking, whole = with_feature_columns(found.drop("embedding", "keywords_embeddings")), with_feature_columns(found)
+    filled = lambda df, name: df.agg(F.lit(name).alias("source"), F.count("*").alias("books"), F.count("embedding").alias("vectors"), F.count("keywords_embeddings").alias("keyword_vectors"))
+    return filled(lacking, "lacking").unionByName(filled(whole, "whole"))
+
+
+def source_formats(spark, sf_dir):
+    """The catalogue written to every kind of file and read back: what each kind holds."""
+    found, out = books(spark, sf_dir), None
+    for kind in FILES:
+        path = f"{own_dir(spark)}/source-{kind}-{uuid.uuid4().hex}"
+        write_books(found, kind, {"path": path})
+        held = read_books(spark, kind, {"path": path}).agg(
+            F.lit(kind).alias("kind"),
+            F.count("*").alias("books"),
+            F.sum("book_id").alias("ids"),
+            F.count("title").alias("titles"),
+            F.sum(F.size(F.coalesce("keywords", F.array().cast("array<string>")))).alias("keywords"),
+            F.sum(F.size(F.coalesce("domain_tags", F.array().cast("array<string>")))).alias("tags"),
+            F.count("publication_date").alias("dates"),
+            F.round(F.sum("rating"), 4).alias("ratings"),
+        )
+        out = held if out is None else out.unionByName(held)
+    return out
+
+
+def lexicon_file(spark, sf_dir):
+    """The lexicon as a JSON file of domains with their keywords, read back with its order."""
+    domains: dict[int, dict] = {}
+    for r in sorted(side_rows(lexicon(spark, sf_dir)), key=lambda r: (r["domain_idx"], r["kw_idx"])):
+        domains.setdefault(r["domain_idx"], {"domain": r["domain"], "keywords": []})["keywords"].append(r["keyword"])
+    path = f"{own_dir(spark)}/lexicon-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(list(domains.values()), ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
+    return tags.read_lexicon(spark, path)
+
+
+def stop_words_file(spark, sf_dir):
+    """The stop words as a text file with blank lines and spaces, read back."""
+    path = f"{own_dir(spark)}/stop-words-{uuid.uuid4().hex}"
+    words = read(spark, sf_dir, "stop_words").filter("word is not null").select(F.concat(F.lit(" "), "word").alias("value"))
+    words.unionByName(words.limit(3).select(F.lit(" ").alias("value"))).write.text(path)
+    return tags.read_stop_words(spark, path)
+
+
+def loaded_table(spark, sf_dir):
+    """A table made, filled in two loads and verified: count, first titles, tags of the first hundred books."""
+    name, found = f"quillstone_{uuid.uuid4().hex}", books(spark, sf_dir)
+    create_table(spark, name, 4)
+    try:
+        append(found.filter("book_id % 2 = 0"), name)
+        append(found.filter("book_id % 2 = 1"), name)
+        seen = verify_load(spark.table(name))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    row = (seen["count"], "|".join(seen["preview"]), len(seen["tags"]))
+    return spark.createDataFrame([row], "books long, preview string, tags int")
+
+
+def response_metadata(spark, sf_dir):
+    scored = recommend.candidates(books(spark, sf_dir), target(spark, sf_dir)).filter("overlap_coefficient > 0")
+    return recommend.response_metadata(scored, Scoring())
+
+
+def pair_by_ids(spark, sf_dir):
+    """The scores of one pair: the first book that has all features, and the first other one with an id divisible by 7."""
+    found, first = books(spark, sf_dir), target(spark, sf_dir)
+    second = found.filter((F.col("book_id") % 7 == 0) & (F.col("book_id") != first)).agg(F.min("book_id")).first()[0]
+    pair = similarity.calculate_similarity(found, first, -1 if second is None else second)
+    return recommend.rounded(pair, recommend.ROUNDED).select(*PAIR[1:])
+
+
 def distinct_vectors(spark, sf_dir):
     return embeddings.distinct_vectors(books(spark, sf_dir))
 
@@ -268,5 +393,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         catalog_stats, tag_statistics, filtered_rank, target_topk, date_parse, raw_decode, raw_latest, update_merge, text_normalise,
         token_filter, text_assembly, lexicon_scores, lexicon_tags, lexicon_tag_statistics, tfidf_topk, tf_keywords, textrank_topk,
         keyword_fusion, keyword_summary, keyword_extract, hashed_embedding, distinct_vectors, enrich_pipeline, window_counts, mode_catalogue,
+        catalog_deep_page, segment_terms, single_book_keywords, model_embedding, model_keyword_vectors, embedding_update, feature_columns,
+        source_formats, lexicon_file, stop_words_file, loaded_table, response_metadata, pair_by_ids,
     )
 } | {f"recommend_by_{m}": recommend_by(m) for m in ("similarity", "rating", "newest", "final")}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.schema import BOOKS, canonical, encode_list
-from quillstone.storage import shared_dir
+from quillstone.storage import own_dir
 
 FILES = ("parquet", "orc", "json", "csv")
 DATABASES = ("mysql", "postgresql", "jdbc")
@@ -119,6 +119,54 @@ def update_table(books: DataFrame, changes: DataFrame, columns: list[str], path:
     write_books(updated(books, changes, columns), "parquet", {"path": path})
 
 
+def update_statement(table: str, staging: str, columns: list[str], url: str) -> str:
+    """One UPDATE of ``columns`` from the staging table by book_id, in the database's own form of a join; a null
+    in the staging table leaves the old value."""
+    mark = "`" if url.startswith("jdbc:mysql") else '"'
+    name = lambda c: f"{mark}{c}{mark}"
+    key, sets = name("book_id"), lambda to: ", ".join(f"{to}{name(c)} = COALESCE(s.{name(c)}, t.{name(c)})" for c in columns)
+    if url.startswith("jdbc:mysql"):
+        return f"UPDATE {table} t JOIN {staging} s ON s.{key} = t.{key} SET {sets('t.')}"
+    if url.startswith("jdbc:postgresql"):
+        return f"UPDATE {table} AS t SET {sets('')} FROM {staging} AS s WHERE s.{key} = t.{key}"
+    one = lambda c: f"{name(c)} = COALESCE((SELECT s.{name(c)} FROM {staging} s WHERE s.{key} = {table}.{key}), {name(c)})"
+    return f"UPDATE {table} SET {', '.join(map(one, columns))} WHERE EXISTS (SELECT 1 FROM {staging} s WHERE s.{key} = {table}.{key})"
+
+
+def update_database(changes: DataFrame, columns: list[str], options: dict[str, str] | None = None, skip_empty: bool = True) -> int:
+    """Update single columns of a database table from ``changes`` (book_id, columns): all executors write a staging
+    table, and one statement in one transaction joins it in. Returns the number of rows updated.
+
+    Null values, and empty lists with ``skip_empty``, leave the old value. The staging table goes again."""
+    given = _options(options)
+    staging = f"staging_{uuid.uuid4().hex[:12]}"
+    kept = changes.dropDuplicates(["book_id"]).filter("book_id is not null").select(
+        "book_id",
+        *[(F.when(F.size(c) > 0, F.col(c)) if skip_empty and isinstance(changes.schema[c].dataType, T.ArrayType) else F.col(c)).alias(c) for c in columns],
+    )
+    as_text_columns(kept).write.format("jdbc").options(**(given | {"dbtable": staging})).mode("overwrite").save()
+    jvm = changes.sparkSession.sparkContext._jvm
+    properties = jvm.java.util.Properties()
+    for name in ("user", "password"):
+        if name in given:
+            properties.setProperty(name, given[name])
+    connection = jvm.java.sql.DriverManager.getConnection(given["url"], properties)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        n = statement.executeUpdate(update_statement(given["dbtable"], staging, columns, given["url"]))
+        connection.commit()
+        return int(n)
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        statement = connection.createStatement()
+        statement.executeUpdate(f"DROP TABLE {staging}")
+        connection.commit()
+        connection.close()
+
+
 def create_table(spark: SparkSession, name: str, buckets: int | None = None) -> None:
     """An empty managed table of the catalogue's schema, replacing an old one; bucketed by book_id if asked,
     which serves lookups and joins as an index would."""
@@ -176,6 +224,6 @@ def sample_books(spark: SparkSession, n: int = 100, tags: list[str] | None = Non
 
 def remember_snapshot(books: DataFrame, columns: list[str]) -> DataFrame:
     """The columns as one stable snapshot in the shared folder, so that a page and its total agree."""
-    path = f"{shared_dir(books.sparkSession)}/quillstone/snapshot-{uuid.uuid4().hex}"
+    path = f"{own_dir(books.sparkSession)}/snapshot-{uuid.uuid4().hex}"
     books.select(*columns).write.parquet(path)
     return books.sparkSession.read.parquet(path)

@@ -13,9 +13,12 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+#: this process's own folder in the shared one
+_OWN = uuid.uuid4().hex
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +35,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir}"
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This process's folder for intermediate tables; it goes when the process ends, or by ``release``."""
+    return f"{shared_dir(spark)}/quillstone/{_OWN}"
+
+
+def release(spark: SparkSession) -> bool:
+    """Delete all intermediate tables of this process. Results that are not yet computed can not be afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession() if SparkContext._active_spark_context else None
+    if spark is not None and (_local_dir or spark.conf.get("spark.checkpoint.dir", None)):
+        try:
+            release(spark)
+        except Exception:  # noqa: BLE001 - the session may be on its way down; its folder stays then
+            pass
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back, with a fresh lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillstone/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,14 +4,17 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone import storage
 from quillstone.config import Config, Scoring
 from quillstone.functions.dates import parse_date
+from quillstone.functions.segment import KEYWORD_POS, Dictionary, kept_words, pieces
+from quillstone.functions.side import side_rows
 from quillstone.functions.text import clean_terms, keyword_text, normalise, normalise_lower, occurrences, tokens
 from quillstone.operators import catalog, keywords, ranking, recommend, similarity, tags
 from quillstone.operators.embeddings import encode_texts, hashed_documents
 from quillstone.plans.pipeline import enrich, run_summary
 from quillstone.schema import BOOKS, canonical, decode_list
-from quillstone.sources.books import append, create_table, read_books, sample_books, updated, verify_load, write_books
+from quillstone.sources.books import append, create_table, read_books, sample_books, update_database, update_statement, updated, verify_load, write_books
 from quillstone.streaming.enrich import read_new_books, requests_per_window, tag_stream
 
 
@@ -225,3 +228,85 @@ def test_tables(spark):
         assert spark.table("quill_books").count() == 3
     finally:
         spark.sql("drop table quill_books")
+
+
+WORDS = {"机器": "n", "学习": "v", "机器学习": "n", "非常": "d", "有趣": "a"}
+
+
+def test_segmenters():
+    segment = Dictionary(WORDS)
+    assert segment("机器学习非常有趣 Deep 2024 机x") == [("机器学习", "n"), ("非常", "d"), ("有趣", "a"), ("deep", "eng"), ("2024", "m"), ("机", "x"), ("x", "eng")]
+    assert segment("") == segment(None) == []
+    words = segment("机器学习非常有趣 Deep 2024 学习")
+    assert kept_words(words, set(), KEYWORD_POS) == ["机器学习", "有趣", "deep", "学习"]
+    assert kept_words(words, {"deep"}, ("n",)) == ["机器学习"]
+    assert kept_words([("ab", None), ("cd", "vn"), ("ef", "vd")], set(), ("v", "vn"), whole=True) == ["ab", "cd"]
+    assert list(pieces()("ab 机器学")) == [("ab", None), ("机器", None), ("器学", None)]
+
+
+def test_keywords_by_part_of_speech(spark):
+    df = spark.createDataFrame([(1, "机器学习非常有趣，机器学习 deep deep deep 2024"), (2, None), (3, "")], "book_id long, text string")
+    dictionary = lambda: Dictionary(WORDS)
+    stop = spark.createDataFrame([("Deep ",), (None,)], "word string")
+    counted = {(r["id"], r["term"]): r["tf"] for r in keywords.terms(df, "book_id", F.col("text"), None, dictionary, digits=False).collect()}
+    assert counted == {(1, "机器学习"): 2, (1, "有趣"): 1, (1, "deep"): 3}
+    assert {r["term"] for r in keywords.terms(df, "book_id", F.col("text"), stop, dictionary, ("n",)).collect()} == {"机器学习", "2024"}
+    found = {r["book_id"]: r["keywords"] for r in keywords.of_single_texts(df, "book_id", F.col("text"), 2, None, dictionary).collect()}
+    # deep: 2 * 3 + its place in the graph; 机器学习 is next in both lists
+    assert found[1] == ["deep", "机器学习"] and found[2] == found[3] == []
+    books = spark.createDataFrame([(1, "机器学习", "学习 学习", None)], "book_id long, title string, book_intro string, author_intro string")
+    assert keywords.of_single_books(books, 3, None, dictionary).first()["keywords"] == ["学习", "机器学习"]
+    ranked = [r["term"] for r in keywords.textrank(df, "book_id", F.col("text"), 3, None, dictionary).orderBy("position").collect()]
+    assert set(ranked) == {"机器学习", "有趣", "deep"}
+
+
+def test_fused_lists_agree(spark):
+    ranked = lambda words: spark.createDataFrame([(1, w, 1.0, i + 1) for i, w in enumerate(words)], "id long, term string, score double, position int")
+    first, second = ["aa", "bb", "cc", "12"], ["bb", "dd", "ee"]
+    assert [r["term"] for r in keywords.fuse(ranked(first), ranked(second), 4).orderBy("position").collect()] == keywords.fused(first, second, 4)
+
+
+def test_side_inputs_are_checked(spark):
+    assert len(side_rows(spark.range(5).toDF("x"), 5)) == 5
+    with pytest.raises(ValueError):
+        side_rows(spark.range(6).toDF("x"), 5)
+
+
+def test_search_and_deep_pages(spark):
+    books = canonical(spark.createDataFrame([(1, "a\\b", 3.0), (2, "ab", None), (3, None, 3.0), (4, "A\\B", 9.0)], "book_id long, title string, rating double"))
+    assert [r["book_id"] for r in catalog.page(books, 1, 9, None, "\\b").collect()] == [1, 4]
+    seen, last = [], None
+    while rows := catalog.page_after(books, last, 1, "rating").collect():
+        last = (rows[0]["rating"], rows[0]["book_id"])
+        seen.append(rows[0]["book_id"])
+    assert seen == [4, 1, 3, 2]
+    assert [r["book_id"] for r in catalog.page_after(books, (2,), 9).collect()] == [3, 4]
+
+
+def test_query_rounds_agree(spark):
+    books = sample_books(spark, 60)
+    asked = F.col("book_id") % 2 == 0
+    whole, rounds = (sorted(map(tuple, recommend.batch_topk(books.repartition(3), asked, 3, block=4, round_bytes=n).collect())) for n in (1 << 30, 1))
+    assert whole == rounds and len(whole) == 90
+    assert recommend.batch_topk(books, F.col("book_id") < 0).count() == 0
+
+
+def test_database_update(spark):
+    options = {"url": "jdbc:derby:memory:quillup;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "dbtable": "books"}
+    books = sample_books(spark, 4).select("book_id", "title", "rating", "keywords")
+    write_books(books, "jdbc", options)
+    changes = spark.createDataFrame([(1, ["new"], 1.5), (2, [], None), (9, ["x"], 2.0), (None, ["y"], 3.0)], "book_id long, keywords array<string>, rating double")
+    assert update_database(changes, ["keywords", "rating"], options) == 2
+    before, after = ({r["book_id"]: r for r in df.collect()} for df in (books, read_books(spark, "jdbc", options)))
+    assert set(after) == {1, 2, 3, 4} and after[1]["keywords"] == ["new"] and after[1]["rating"] == 1.5
+    assert all(after[i]["keywords"] == before[i]["keywords"] and after[i]["rating"] == before[i]["rating"] for i in (2, 3, 4))
+    left = spark.read.format("jdbc").options(**(options | {"dbtable": "(select tablename from sys.systables where tabletype = 'T') x"})).load()
+    assert [r[0].lower() for r in left.collect()] == ["books"]
+    for url, form in (("jdbc:mysql://h/d", "JOIN"), ("jdbc:postgresql://h/d", " FROM ")):
+        assert form in update_statement("books", "s1", ["rating"], url)
+
+
+def test_release(spark, tmp_path):
+    kept = storage.cut(spark.range(3).toDF("x"), "some")
+    assert kept.count() == 3 and storage.release(spark) and not storage.release(spark)
+    assert storage.cut(spark.range(3).toDF("x"), "some").count() == 3
