@@ -8,7 +8,9 @@ side its words are families and given names. Keys are then sharded by what
 two keys within one edit must have in common (two of their three parts); each shard's keys form a
 trie, which is traversed with a Levenshtein automaton (with transpositions) to enumerate neighbours
 within distance one; an initial is never taken for another one's error. A key follows its
-best-supported neighbour.
+best-supported neighbour, and that one its own, to the end. A shard of very many keys, such as those
+of a common given name, is sharded again by what is left of a key without one of its characters; so
+many keys have that in common as there are places and characters, whatever the collection's size.
 
 What is left are forms that no small distance reaches; they are looked up under the same family
 name, where relatives are told apart: a nickname stands for a given name of the fixed table or for
@@ -17,7 +19,7 @@ name alone, stands for the only given name that fits. Where two persons of the f
 is linked. Abbreviated bodies are looked up by their place and their words' first letters, and
 every abbreviation has to begin the word it stands for.
 
-All spellings of one entity are linked with each other. The distinct spellings are aggregated
+All spellings of one entity are one class; ``variant_pairs`` links them with each other. The distinct spellings are aggregated
 before anything is shuffled, so a name on a third of all rows is one row here.
 
 Cases: null, empty and blank names are ignored; names are compared exactly as written and a pair is
@@ -139,6 +141,11 @@ def shard_keys(key: str) -> list[str]:
     return out
 
 
+def without_one(key: str) -> set[str]:
+    """The key, and the key less any one character; keys within one edit have one of these in common."""
+    return {key, *(key[:i] + key[i + 1 :] for i in range(len(key)))}
+
+
 class Trie:
     def __init__(self, keys: list[str]):
         self.root: dict = {}
@@ -179,8 +186,10 @@ def substituted(a: str, b: str) -> tuple[str, str] | None:
     return (a[at[0]], b[at[0]]) if len(at) == 1 else None
 
 
-def neighbours(keys: DataFrame) -> DataFrame:
-    """(a, b, x, y): keys of one script within one edit, a < b; x and y the characters of a substitution."""
+def neighbours(keys: DataFrame, most: int = 2_000) -> DataFrame:
+    """(a, b, x, y): keys of one script within one edit, a < b; x and y the characters of a substitution.
+
+    Shards of more than ``most`` keys are sharded again."""
 
     def shard(batches):
         for batch in batches:
@@ -220,7 +229,18 @@ def neighbours(keys: DataFrame) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [[], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["a", "b", "x", "y"])
 
-    shards = keys.select("key", "script").mapInArrow(shard, "shard string, key string")
+    def again(batches):
+        for batch in batches:
+            ks, shards = [], []
+            for s, key, large in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = [f"{s}-{rest}" for rest in sorted(without_one(key))] if large else [s]
+                shards += own
+                ks += [key] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), pa.array(ks, pa.string())], names=["shard", "key"])
+
+    shards = cut(keys.select("key", "script").distinct().mapInArrow(shard, "shard string, key string"), "name-shards")
+    large = shards.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("shard", F.lit(True).alias("large"))
+    shards = shards.join(large, "shard", "left").select("shard", "key", F.coalesce("large", F.lit(False))).mapInArrow(again, "shard string, key string")
     # a fixed number of partitions: the rows are few bytes and much work, so they must not be merged
     partitions = partitions_for(keys.sparkSession, 0)
     return shards.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(join, "a string, b string, x string, y string").distinct()
@@ -317,10 +337,12 @@ def roots_by_distance(named: DataFrame) -> DataFrame:
         .select(F.col("a").alias("key"), F.col("to.b").alias("parent"))
     )
     step = cut(keys.select("key", "script").join(ranked, "key", "left").select("key", "script", F.coalesce("parent", "key").alias("root")), "name-roots")
-    # an error's root may itself follow a better key: two more steps reach the end of such chains
-    for _ in range(2):
+    # an error's root may itself follow a better key: each round doubles the steps taken, to 64 at most
+    for _ in range(6):
         up = step.select(F.col("key").alias("root"), F.col("root").alias("next"))
-        step = step.join(up, "root").select("key", "script", F.col("next").alias("root"))
+        step = cut(step.join(up, "root").select("key", "script", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "name-roots")
+        if not step.filter("moved").head(1):
+            break
     return step.select("key", "root")
 
 
@@ -435,8 +457,14 @@ def variant_groups(df: DataFrame, names: str) -> DataFrame:
     return rooted.join(links, "root", "left").select("name", F.coalesce("lead", "root").alias("entity"))
 
 
+def variant_classes(df: DataFrame, names: str) -> DataFrame:
+    """(name, class_name): every distinct spelling with the first spelling of its class by code point."""
+    groups = cut(variant_groups(df, names), "name-groups")
+    return groups.join(groups.groupBy("entity").agg(F.min("name").alias("class_name")), "entity").select("name", "class_name")
+
+
 def variant_pairs(df: DataFrame, names: str) -> DataFrame:
     """(a, b), a < b: two spellings of one entity, exactly as written."""
-    groups = cut(variant_groups(df, names), "name-groups")
-    x, y = groups.select("entity", F.col("name").alias("a")), groups.select("entity", F.col("name").alias("b"))
-    return x.join(y, "entity").filter("a < b").select("a", "b").distinct()
+    groups = variant_classes(df, names)
+    x, y = groups.select("class_name", F.col("name").alias("a")), groups.select("class_name", F.col("name").alias("b"))
+    return x.join(y, "class_name").filter("a < b").select("a", "b").distinct()

@@ -61,6 +61,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("name_a"), F.col("b").alias("name_b"))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the first spelling of its class."""
+    return names.variant_classes(table(spark, sf_dir, "books"), "authors")
+
+
 def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.parsimonious(distinctive.term_occurrences(table(spark, sf_dir, "books"), "book_id", "keywords", "books_intro", "reviews"))
 
@@ -137,6 +142,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p4_found": p4_found,
+    "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p5_top_terms": p5_top_terms,
     "p6_found": p6_found,

@@ -153,6 +153,21 @@ def test_trie_enumerates_one_edit():
         assert all(set(names.shard_keys(w)) & set(names.shard_keys(o)) for o in want)
 
 
+def test_large_shards_are_sharded_again(spark):
+    rng = random.Random(4)
+    keys = sorted({"andrew" + "".join(rng.choice("ab") for _ in range(rng.randint(4, 6))) for _ in range(90)})
+    df = spark.createDataFrame([(k, "la") for k in keys], "key string, script string")
+    found = [{(r["a"], r["b"], r["x"], r["y"]) for r in names.neighbours(df, most).collect()} for most in (2_000, 3)]
+    assert found[0] == found[1] and len(found[0]) > 50
+
+
+def test_errors_are_followed_to_the_end(books):
+    chain = ["Zora Trufloresk", "Zora Trufloreskk", "Zora Trufloreskkk", "Zora Trufloreskkkk", "Zora Trufloreskkkkk", "Zora Trufloreskkkkkk"]
+    rows = [{"book_id": 10 * i + j, "authors": [n]} for i, n in enumerate(chain) for j in range(8 - i)]
+    classes = {r["name"]: r["class_name"] for r in names.variant_classes(books(rows), "authors").collect()}
+    assert set(classes) == set(chain) and set(classes.values()) == {chain[0]}
+
+
 def test_name_variants(books):
     groups = [
         ["Anthony Numofovik", "Numofovik, Anthony", "Dr. Anthony  Numofovik", "Tony Numofovik", "A. Numofovik", "Anthony J. Numofovik (ed.)", "AnthonyNumofovik", "Anthony Numofovk"],
