@@ -71,7 +71,8 @@ def over_slices(
     schema: str,
     broadcasts: object = None,
 ) -> DataFrame:
-    """Bring the blobs of each slice together and run ``each(slice, unpacked blobs)`` on it."""
+    """Bring the blobs of each slice together and run ``each(slice, unpacked blobs)`` on it. Slices are dealt to
+    the partitions in turn, so that no two meet by chance of a hash while another partition is empty."""
 
     def run(batches):
         now, held = None, []
@@ -87,9 +88,9 @@ def over_slices(
         if held:
             yield from each(now, held)
 
-    return (
-        df.repartition(max(1, partitions), "slice").sortWithinPartitions("slice").mapInArrow(run, schema)
-    )
+    n = max(1, partitions)
+    dealt = df.repartitionById(n, F.pmod("slice", F.lit(n)).cast("int"))
+    return dealt.sortWithinPartitions("slice").mapInArrow(run, schema)
 
 
 def summed(df: DataFrame, fan: int = 64) -> DataFrame:
