@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from pathlib import Path
 from typing import Any
 
@@ -13,6 +13,7 @@ class Scoring:
     """Weights of the pair score: ``alpha`` of the mean keyword similarity against the best one, ``a`` of
     the semantic against the keyword similarity, ``beta`` the penalty per shared tag."""
 
+    # The default weights.
     alpha: float = 0.4
     a: float = 0.6
     beta: float = 0.25
@@ -56,4 +57,4 @@ class Config:
         return value
 
     def scoring(self) -> Scoring:
-        return Scoring(*(float(self.get(f"recommender.{f}", d)) for f, d in (("alpha", 0.4), ("a", 0.6), ("beta", 0.25))))
+        return Scoring(**{f.name: float(self.get(f"recommender.{f.name}", f.default)) for f in fields(Scoring)})

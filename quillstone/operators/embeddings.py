@@ -6,7 +6,7 @@ texts, so similarities mean something without a model."""
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -19,8 +19,13 @@ from quillstone.functions.text import split_tokens
 Encoder = Callable[[list[str]], list[list[float]]]
 
 
+def word_slot(word: str, size: int) -> int:
+    """The word's slot: the first eight bytes of its MD5 sum, the lowest first, modulo the size."""
+    return int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:8], "little") % size
+
+
 def hashed_documents(df: DataFrame, id_col: str, text: Column, size: int = 768) -> DataFrame:
-    """(id, embedding): word counts at length one, every word in the slot of its checksum modulo the size;
+    """(id, embedding): word counts at length one, every word in its slot;
     zeros for a text without words."""
     kept = df.select(F.col(id_col).alias("id"), text.alias("text"))
 
@@ -35,7 +40,7 @@ def hashed_documents(df: DataFrame, id_col: str, text: Column, size: int = 768)
                     if slot is None:
                         if len(slots) > 200_000:
                             slots.clear()
-                        slot = slots[w] = zlib.crc32(w.encode()) % size
+                        slot = slots[w] = word_slot(w, size)
                     out[i, slot] += 1
             out /= np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * size, pa.int32()), pa.array(out.ravel()))

@@ -87,12 +87,13 @@ _EMBEDDING_TEXT = (
     "list_filter(coalesce(reading_notes, []), lambda p: length(p) > 0)))), ' ')"
 )
 
+_PIECES = """list_concat(regexp_extract_all(t, '[a-z0-9]+'), flatten(list_transform(regexp_extract_all(t, '[一-龥]+'),
+        lambda r: case when length(r) < 3 then [r] else list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) end)))"""
+
 _TERMS = f"""with {_BOOKS}, plain as (
     select book_id, lower({_PLAIN.format("(" + _KEYWORD_TEXT + ")")}) as t from b
 ), words as (
-    select book_id, unnest(list_concat(regexp_extract_all(t, '[a-z0-9]+'), flatten(list_transform(regexp_extract_all(t, '[一-龥]+'),
-        lambda r: case when length(r) < 3 then [r] else list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) end)))) as term
-    from plain
+    select book_id, unnest({_PIECES}) as term from plain
 ), tf as (
     select book_id, term, count(*) as tf from words
     where length(term) > 1 and term not in (select lower(trim(word)) from stop_words where word is not null) group by all
@@ -194,6 +195,12 @@ SQL: dict[str, str] = {
     "lexicon_tags": f"{_LEX} select book_id, array_to_string(tags, '|') as tags from tagged",
     "lexicon_tag_statistics": f"{_LEX} select tag, {_PERCENT} from (select unnest(tags) as tag from tagged) group by tag",
     "tfidf_topk": f"{_TERMS} select book_id, term, score, position from tfidf",
+    "hashed_embedding": f"""with plain as (select doc_id, lower({_PLAIN.format("text")}) as t from documents), words as (
+        select doc_id, unnest({_PIECES}) as w from plain
+    ), slots as (select doc_id, cast(md5_number_upper(w) % 64 as int) as slot, count(*) as n from words where w <> '' group by all), scaled as (
+        select doc_id, slot, n / sqrt(sum(n * n) over (partition by doc_id)) as x from slots
+    ) select d.doc_id, cast(count(slot) as int) as used, coalesce(round(max(x), 6), 0) as largest,
+        coalesce(string_agg(printf('%d:%.6f', slot, x), ' ' order by slot), '') as entries from documents d left join scaled using (doc_id) group by d.doc_id""",
     "catalog_deep_page": "select book_id, title, rating from books order by rating desc nulls last, book_id limit 20 offset 20",
     "segment_terms": f"""with {_BOOKS}, words as (
         select book_id, unnest(regexp_extract_all(lower({_PLAIN.format("(" + _KEYWORD_TEXT + ")")}), '[a-z0-9]+')) as term from b

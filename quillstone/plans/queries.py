@@ -264,9 +264,10 @@ def keyword_extract(spark, sf_dir):
 
 
 def hashed_embedding(spark, sf_dir):
-    """Number of used slots and largest entry of the hashed vectors of all documents."""
+    """The hashed vectors of all documents: number of used slots, largest entry, and all entries but zeros by slot."""
     made = embeddings.hashed_documents(read(spark, sf_dir, "documents"), "doc_id", F.col("text"), 64)
-    return made.select("doc_id", F.size(F.filter("embedding", lambda x: x > 0)).alias("used"), F.round(F.array_max("embedding"), 6).alias("largest"))
+    entries = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, F.format_string("%d:%.6f", i, x))), lambda x: x.isNotNull())
+    return made.select("doc_id", F.size(entries).alias("used"), F.round(F.array_max("embedding"), 6).alias("largest"), F.array_join(entries, " ").alias("entries"))
 
 
 def model_embedding(spark, sf_dir):

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,24 @@ def test_fusion_golden(spark):
     assert [(r["term"], r["score"]) for r in fused] == [("aa", 6), ("bb", 6), ("cc", 2), ("dd", 1)]
 
 
+def test_textrank_against_plain_loops():
+    rng = random.Random(4)
+    for _ in range(20):
+        words = [rng.choice("abcdefghij") * 2 for _ in range(rng.randint(2, 60))]
+        edges: dict[tuple[str, str], int] = {}
+        for i, a in enumerate(words):
+            for b in words[i + 1 : i + 5]:
+                if a != b:
+                    edges[a, b] = edges.get((a, b), 0) + 1
+                    edges[b, a] = edges.get((b, a), 0) + 1
+        score = dict.fromkeys(words, 1.0)
+        for _ in range(30 if edges else 0):
+            leaving = {w: sum(n for (x, _), n in edges.items() if x == w) for w in score}
+            score = {w: 0.15 + 0.85 * sum(n * score[x] / leaving[x] for (x, y), n in edges.items() if y == w) for w in score}
+        top = max(score.values())
+        assert keywords.rank_graph(words) == pytest.approx({w: s / top for w, s in score.items()})
+
+
 def test_textrank():
     scores = keywords.rank_graph(["ab", "cd", "ab", "ef", "ab"])
     assert max(scores, key=scores.get) == "ab" and keywords.rank_graph([]) == {}
