@@ -87,14 +87,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The neighbours of the books whose id is divisible by 100, against all, by a tree of small leaves without any loss."""
     found = vectors.nearest(table(spark, sf_dir, "books"), "book_id", "embedding", 128, leaf_rows=128, miss=1e-9, queries=F.col("book_id") % 100 == 0)
-    return found.select(F.col("record").alias("book_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"))
+    return found.select(F.col("record").alias("book_id"), F.col("neighbour").alias("neighbour_id"), "similarity")
 
 
 def p6_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar other keyword vectors of every usable keyword vector, each by its book and its position from 0."""
     found = vectors.nearest_listed(table(spark, sf_dir, "books"), "book_id", "keywords_embeddings", 64)
     return found.select(
-        F.col("record").alias("book_id"), "position", F.col("neighbour").alias("neighbour_id"), "neighbour_position", F.round("similarity", 9).alias("similarity")
+        F.col("record").alias("book_id"), "position", F.col("neighbour").alias("neighbour_id"), "neighbour_position", "similarity"
     )
 
 
@@ -238,8 +238,18 @@ group by all having sum((length(t) - length(replace(t, term, ''))) // length(ter
 select a.book_id, b.book_id as neighbour_id from units a join units b on a.book_id <> b.book_id
 qualify row_number() over (partition by a.book_id order by round(list_dot_product(a.u, b.u), 9) desc, b.book_id) <= 5""",
     "p6_exact": f"""with {_UNIT}
-select a.book_id, b.book_id as neighbour_id, round(list_dot_product(a.u, b.u), 6) as similarity from units a join units b on a.book_id <> b.book_id
+select a.book_id, b.book_id as neighbour_id, round(list_dot_product(a.u, b.u), 9) as similarity from units a join units b on a.book_id <> b.book_id
 where a.book_id % 100 = 0 qualify row_number() over (partition by a.book_id order by round(list_dot_product(a.u, b.u), 9) desc, b.book_id) <= 5""",
+    "p6_keywords": """with listed as (
+    select book_id, unnest(range(0, len(keywords_embeddings))) as position, unnest(keywords_embeddings) as v from books where book_id is not null
+), usable as (
+    select book_id, position, list_transform(v, lambda x: cast(cast(x as float) as double)) as v from listed
+    where len(v) = 64 and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0
+), units as materialized (select book_id, position, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from usable)
+select a.book_id, cast(a.position as int) as position, b.book_id as neighbour_id, cast(b.position as int) as neighbour_position,
+    round(list_dot_product(a.u, b.u), 9) as similarity
+from units a join units b on a.book_id <> b.book_id or a.position <> b.position
+qualify row_number() over (partition by a.book_id, a.position order by round(list_dot_product(a.u, b.u), 9) desc, b.book_id, b.position) <= 5""",
     "p7_found": f"""with sets as materialized (
     select book_id, list_distinct(list_concat(k, {_normal_list("domain_tags")})) as s
     from (select *, {_normal_list("keywords")} as k from (select distinct on (book_id) * from books)) where len(k) >= 3
