@@ -530,3 +530,16 @@ def test_query_agrees_with_sql(spark, name):
 def test_query_runs(spark, name):
     rows = queries.QUERIES[name](spark, SF).collect()
     assert len(set(map(str, rows))) == len(rows) and (rows or name == "p10_found")
+
+
+def test_filter_finds_every_term():
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("ab哈希") for _ in range(rng.randint(1, 9))) for _ in range(60)} | {"x" * 300})
+    texts = ["".join(rng.choice("ab哈希 ") for _ in range(rng.randint(0, 200))) for _ in range(50)] + ["", "x" * 900, "aaaaaaa"]
+    terms = distinctive.Filter(len(words))
+    each = [distinctive.Substrings(w) for w in words]
+    first = np.array([0])
+    terms.add(np.array([x.of(first, x.n)[0] for x in each]), np.array([x.of(first, min(4, x.n))[0] for x in each]), np.array([x.n for x in each]))
+    for text, counts in zip(texts, distinctive.counts_of(terms, texts), strict=True):
+        assert {w: n for w, n in counts.items() if w in words} == {w: text.count(w) for w in words if w in text}
+    assert distinctive.counts_of(terms, []) == [] and distinctive.counts_of(distinctive.Filter(0), ["abc"]) == [{}]
