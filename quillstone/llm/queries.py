@@ -98,9 +98,19 @@ def p6_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_similar(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return setjoin.similar_sets(table(spark, sf_dir, "books"), "book_id", "keywords", "domain_tags", 3)
+
+
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first book with the same set as each book, and the number of books it is linked with."""
+    pairs, members = p7_similar(spark, sf_dir)
+    linked = members.select("rep", "record").join(setjoin.links(pairs, members), "rep")
+    return linked.select(F.col("record").alias("book_id"), F.col("rep").alias("class_id"), "links")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, members = setjoin.similar_sets(table(spark, sf_dir, "books"), "book_id", "keywords", "domain_tags", 3)
-    return setjoin.expanded(pairs, members).select(F.col("a").alias("book_a"), F.col("b").alias("book_b"))
+    return setjoin.expanded(*p7_similar(spark, sf_dir)).select(F.col("a").alias("book_a"), F.col("b").alias("book_b"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +159,7 @@ QUERIES = {
     "p6_exact": p6_exact,
     "p6_keywords": p6_keywords,
     "p7_found": p7_found,
+    "p7_classes": p7_classes,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
@@ -204,6 +215,14 @@ def _normal_list(items: str) -> str:
     return f"list_distinct(list_filter(list_transform(coalesce({items}, []), lambda x: {_normal('x')}), lambda x: x <> ''))"
 
 
+_SIMILAR = f"""with sets as materialized (
+    select book_id, list_distinct(list_concat(k, {_normal_list("domain_tags")})) as s
+    from (select *, {_normal_list("keywords")} as k from (select distinct on (book_id) * from books)) where len(k) >= 3
+), pairs as materialized (
+    select a.book_id as book_a, b.book_id as book_b from sets a join sets b on a.book_id < b.book_id
+    where len(list_intersect(a.s, b.s)) >= 0.6 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))
+)"""
+
 _UNIT = """usable as (
     select book_id, list_transform(embedding, lambda x: cast(cast(x as float) as double)) as v from books
     where len(embedding) = 128 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
@@ -250,12 +269,10 @@ select a.book_id, cast(a.position as int) as position, b.book_id as neighbour_id
     round(list_dot_product(a.u, b.u), 9) as similarity
 from units a join units b on a.book_id <> b.book_id or a.position <> b.position
 qualify row_number() over (partition by a.book_id, a.position order by round(list_dot_product(a.u, b.u), 9) desc, b.book_id, b.position) <= 5""",
-    "p7_found": f"""with sets as materialized (
-    select book_id, list_distinct(list_concat(k, {_normal_list("domain_tags")})) as s
-    from (select *, {_normal_list("keywords")} as k from (select distinct on (book_id) * from books)) where len(k) >= 3
-)
-select a.book_id as book_a, b.book_id as book_b from sets a join sets b on a.book_id < b.book_id
-where len(list_intersect(a.s, b.s)) >= 0.6 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))""",
+    "p7_found": f"{_SIMILAR} select book_a, book_b from pairs",
+    "p7_classes": f"""{_SIMILAR}, linked as (select a, count(*) as links from (select book_a as a from pairs union all select book_b from pairs) group by a)
+select book_id, min(book_id) over (partition by list_sort(s)) as class_id, cast(coalesce(links, 0) as bigint) as links
+from sets left join linked on a = book_id""",
     "p1_ranking": _leximin_sql(
         f"""dated as (
     select r.*, b.rating as book_rating, b.publication_date as book_date,

@@ -209,6 +209,14 @@ def similar_sets(df: DataFrame, id_col: str, counted: str, other: str | None = N
     return pairs, members
 
 
+def links(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(rep, links) of every class: how many other records each of its records is linked with."""
+    size = members.select("rep", "copies").distinct()
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    beside = both.join(size.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("beside"))
+    return size.join(beside, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("beside", F.lit(0))).alias("links"))
+
+
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """All pairs of records (a, b) from pairs of representatives and membership."""
     several = members.filter("copies > 1").select("rep", "record")
