@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from quillstone.storage import cut
 
 ORDER = 6
+#: characters that texts may hold, for those that no labelled document has
+ALPHABET = 5_000.0
 _ENDS = re.compile(r"(?<=[。！？!?…～~])(?![。！？!?…～~])|(?<=\.)(?=\s)|(?<=\.\.)(?!\.)|\n+|<[^<>]{0,20}>")
 _CJK = "㐀-鿿"
 # separators that only serve to break a word: inside Chinese, or between single letters
@@ -170,7 +172,7 @@ class Models:
             return np.empty(0)
         points, owner = encoded(texts)
         hashes = [np.empty(0, np.uint64)] + [gram_hashes(points, n) for n in range(1, ORDER + 1)]
-        low = (self.toxic.shared.of(hashes[1])[:, 0] + 0.5) / (self.types + 5_000.0)
+        low = (self.toxic.shared.of(hashes[1])[:, 0] + 0.5) / (self.types + ALPHABET)
         ratio = self.toxic.log_likelihood(hashes, low) - self.ordinary.log_likelihood(hashes, low)
         real = points != 2
         return np.bincount(owner[real], ratio[real], len(texts)) / np.bincount(owner[real], minlength=len(texts))
