@@ -112,6 +112,53 @@ _TERMS = f"""with {_BOOKS}, plain as (
         from tf where not regexp_full_match(term, '[0-9]+')) where position <= 10
 )"""
 
+
+def _word_graph(kept: str, most: int, k: int) -> str:
+    """The tables of a word graph over ``plain``: its words, edges, thirty rounds, and the k best clean words of ``most``."""
+    return f"""pieces as (select book_id, {_PIECES} as w from plain), seq as materialized (
+    select book_id, term, row_number() over (partition by book_id order by i) as i
+    from (select book_id, unnest(w) as term, unnest(range(len(w))) as i from pieces)
+    where length(term) > 1 and {kept} and term not in (select lower(trim(word)) from stop_words where word is not null)
+), edges as materialized (
+    select a.book_id, a.term as x, b.term as y, count(*) as n from seq a join seq b
+    on a.book_id = b.book_id and b.i between a.i - 4 and a.i + 4 and a.term <> b.term group by all
+), flows as materialized (
+    select book_id, x, y, n / sum(n) over (partition by book_id, x) as share from edges
+    union all select distinct book_id, term, term, 0 from seq where book_id in (select book_id from edges)
+), rounds as (
+    select distinct book_id, term, 1::double as s, 0 as round from seq where book_id in (select book_id from edges)
+    union all select f.book_id, f.y, 0.15 + 0.85 * sum(f.share * r.s), r.round + 1
+    from rounds r join flows f on f.book_id = r.book_id and f.x = r.term where r.round < 30 group by f.book_id, f.y, r.round
+), graphed as (
+    select book_id, term, round(s / max(s) over (partition by book_id), 6) as score from rounds where round = 30
+    union all select distinct book_id, term, 1 from seq where book_id not in (select book_id from edges)
+), textrank as (
+    select * from (select book_id, term, score, cast(row_number() over (partition by book_id order by score desc, term) as int) as position
+        from (select *, row_number() over (partition by book_id order by score desc, term) as r from graphed)
+        where r <= {most} and not regexp_full_match(term, '[0-9]+')) where position <= {k}
+)"""
+
+
+def _fused(first: str, second: str) -> str:
+    """The tables that fuse two ranked lists to ten."""
+    return f"""two as (
+    select book_id, term, 2 * (count(*) over (partition by book_id) - position + 1) as s, position as seen from {first}
+    union all select book_id, term, count(*) over (partition by book_id) - position + 1, 1000000 + position from {second}
+), extracted as (
+    select book_id, list(term order by position) filter (length(term) > 1 and not regexp_full_match(term, '[0-9]+')) as keywords
+    from (select book_id, term, row_number() over (partition by book_id order by sum(s) desc, min(seen)) as position from two group by book_id, term)
+    where position <= 10 group by book_id
+)"""
+
+
+_GRAPH = f"{_TERMS.replace('with ', 'with recursive ', 1)}, {_word_graph('true', 20, 10)}, {_fused('tfidf', 'textrank')}"
+_SINGLE = f"""with recursive {_BOOKS}, plain as (
+    select book_id, lower({_PLAIN.format("concat_ws(chr(32), title, book_intro, author_intro)")}) as t from b
+), {_word_graph("not regexp_full_match(term, '[0-9]+')", 40, 20)}, frequent as (
+    select * from (select book_id, term, row_number() over (partition by book_id order by count(*) desc, min(i)) as position from seq group by book_id, term)
+    where position <= 20
+), {_fused("frequent", "textrank")}"""
+
 _LEX_TEXT = f"lower({_PLAIN.format('concat_ws(chr(32), title, book_intro, author_intro)')})"
 _LEX = f"""with {_BOOKS}, plain as (select book_id, {_LEX_TEXT} as t from b), scores as (
     select book_id, domain_idx, sum((length(t) - length(replace(t, lower(keyword), ''))) // length(keyword)) as score
@@ -201,6 +248,15 @@ SQL: dict[str, str] = {
         select doc_id, slot, n / sqrt(sum(n * n) over (partition by doc_id)) as x from slots
     ) select d.doc_id, cast(count(slot) as int) as used, coalesce(round(max(x), 6), 0) as largest,
         coalesce(string_agg(printf('%d:%.6f', slot, x), ' ' order by slot), '') as entries from documents d left join scaled using (doc_id) group by d.doc_id""",
+    "textrank_topk": f"{_GRAPH} select book_id, term, score, position from textrank",
+    "keyword_extract": f"{_GRAPH} select book_id, coalesce(array_to_string(extracted.keywords, '|'), '') as keywords from books left join extracted using (book_id)",
+    "enrich_pipeline": f"""{_GRAPH}, embedded as (
+        select book_id, lower({_PLAIN.format("(" + _EMBEDDING_TEXT + ")")}) as t from b
+    ) select count(*) as books, count(*) filter (len(keywords) > 0) as with_keywords, count(*) as with_tags,
+        count(*) filter (len({_PIECES}) > 0) as with_embedding, count(*) filter (len(keywords) > 0) as with_keyword_vectors,
+        cast(coalesce(sum(len(keywords)), 0) as bigint) as keyword_vectors from embedded left join extracted using (book_id)""",
+    "single_book_keywords": f"{_SINGLE} select book_id, coalesce(array_to_string(extracted.keywords, '|'), '') as keywords from books left join extracted using (book_id)",
+    "request_topk": _recommend().replace("limit 20", "limit 12").replace("limit 10", "limit 6") + _RESULT,
     "catalog_deep_page": "select book_id, title, rating from books order by rating desc nulls last, book_id limit 20 offset 20",
     "segment_terms": f"""with {_BOOKS}, words as (
         select book_id, unnest(regexp_extract_all(lower({_PLAIN.format("(" + _KEYWORD_TEXT + ")")}), '[a-z0-9]+')) as term from b

@@ -84,6 +84,12 @@ def all_books_topk(spark, sf_dir):
     return recommend.batch_topk(books(spark, sf_dir), F.col("book_id") % 100 == 0)
 
 
+def request_topk(spark, sf_dir):
+    """A request as the pages send it: six books, comprehensive, across domains."""
+    found = recommend.recommend(books(spark, sf_dir), target(spark, sf_dir), 6, "comprehensive", AS_OF)
+    return found.select(*RESULT)
+
+
 def domain_distribution(spark, sf_dir):
     found = recommend.recommend(books(spark, sf_dir), target(spark, sf_dir), as_of=AS_OF)
     return recommend.domain_distribution(found)
@@ -395,6 +401,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_filter, text_assembly, lexicon_scores, lexicon_tags, lexicon_tag_statistics, tfidf_topk, tf_keywords, textrank_topk,
         keyword_fusion, keyword_summary, keyword_extract, hashed_embedding, distinct_vectors, enrich_pipeline, window_counts, mode_catalogue,
         catalog_deep_page, segment_terms, single_book_keywords, model_embedding, model_keyword_vectors, embedding_update, feature_columns,
-        source_formats, lexicon_file, stop_words_file, loaded_table, response_metadata, pair_by_ids,
+        source_formats, lexicon_file, stop_words_file, loaded_table, response_metadata, pair_by_ids, request_topk,
     )
 } | {f"recommend_by_{m}": recommend_by(m) for m in ("similarity", "rating", "newest", "final")}
