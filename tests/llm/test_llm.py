@@ -320,6 +320,13 @@ def test_vectors_in_chunks_and_for_a_query_set(books):
         assert {i: [n for _, n in sorted(x)] for i, x in found.items()} == {i: want[i] for i in asked}
 
 
+def test_vectors_of_one_record(books):
+    rng = np.random.default_rng(8)
+    rows = [{"book_id": 7, "embedding": v} for v in rng.standard_normal((90, 16)).tolist()]
+    # repeated rows of one id with different vectors: all are its own, so it has no other neighbour
+    assert vectors.nearest(books(rows), "book_id", "embedding", 16, leaf_rows=20, most_sampled=1 << 20).count() == 0
+
+
 def test_probes_leave_less_than_miss_unseen():
     rng = np.random.default_rng(7)
     points = rng.standard_normal((4_000, 9))
