@@ -113,15 +113,17 @@ def hashed_sets(df: DataFrame, id_col: str, counted: str, other: str | None, lea
 def one_bit_minhashes(values: np.ndarray, starts: np.ndarray, bits: int, seed: int = 7) -> np.ndarray:
     """(sets, bits / 64) codes as uint64; ``values`` holds the sets' elements one after the other."""
     rng = np.random.default_rng(seed)
-    mult = (rng.integers(1, 2**63, bits, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-    add = rng.integers(0, 2**63, bits, dtype=np.uint64)
+    mult = (rng.integers(1, 2**31, bits, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+    add = rng.integers(0, 2**32, bits, dtype=np.uint32)
     v = values.astype(np.uint64)
-    v = (v ^ (v >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    out = np.empty((len(starts), bits), dtype=np.uint8)
+    v = (((v ^ (v >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+    h, out = np.empty_like(v), np.empty((bits, len(starts)), dtype=np.uint8)
     for j in range(bits):
-        least = np.minimum.reduceat((v * mult[j] + add[j]) >> np.uint64(32), starts)
-        out[:, j] = ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8)
-    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+        np.multiply(v, mult[j], out=h)
+        np.add(h, add[j], out=h)
+        least = np.minimum.reduceat(h, starts)
+        out[j] = ((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+    return np.packbits(np.ascontiguousarray(out.T), axis=1, bitorder="little").view(np.uint64)
 
 
 def segment_keys(codes: np.ndarray, segment: int, width: int) -> np.ndarray:
