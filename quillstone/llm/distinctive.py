@@ -169,7 +169,7 @@ def filter_of(terms: DataFrame, n: int) -> Filter:
             yield pa.RecordBatch.from_pydict({"hashes": [pack(hashes, heads, lengths)]}, schema=schema)
 
     out = Filter(n)
-    for row in terms.mapInArrow(run, "hashes binary").toLocalIterator():
+    for row in terms.mapInArrow(run, "hashes binary").repartition(max(1, n // 1_000_000)).toLocalIterator():
         out.add(*unpack(bytes(row["hashes"])))
     return out
 
