@@ -454,6 +454,9 @@ def test_subjects(books, spark):
     scored = subjects.subject_scores(books(rows), given, lexicon)
     found = {(r["record"], r["subject"]) for r in scored.filter("score >= 0.5").collect()}
     assert found == {(i, "science" if i % 2 else "law") for i in range(120)} | {(502, "science")}
+    # a vocabulary too large to travel whole is that of the labelled records
+    few = subjects.subject_scores(books(rows), given, lexicon, most_terms=1)
+    assert {(r["record"], r["subject"]) for r in few.filter("score >= 0.5").collect()} == found
     assert subjects.subject_scores(books([]), given, lexicon).count() == 0
     assert subjects.subject_scores(books(rows), given.limit(0), lexicon).filter("score >= 0.5").count() >= 40
 
@@ -461,6 +464,17 @@ def test_subjects(books, spark):
 # abuse
 
 
+def test_abuse_threshold_follows_the_share():
+    rng = np.random.default_rng(3)
+    truth = np.r_[np.ones(300, bool), np.zeros(2_000, bool)]
+    held = np.where(truth, rng.normal(1.5, 1, 2_300), rng.normal(-1.5, 1, 2_300))
+    corpus = np.r_[rng.normal(1.5, 1, 400), rng.normal(-1.5, 1, 19_600)]
+    assert abuse.estimated_share(held, truth, float((corpus > 0).mean())) == pytest.approx(0.02, abs=0.012)
+    rare, frequent = (abuse.best_threshold(held, truth, share) for share in (0.005, 0.3))
+    assert rare > frequent >= 0
+    assert abuse.best_threshold(-np.abs(held), truth, 0.1) == 0 and abuse.best_threshold(np.full(4, -np.inf), truth[:4], 0.1) == 0
+
+
 def test_abuse_held_out(docs, spark):
     rng = random.Random(6)
     places = ["Arlen", "Brook", "Corwen", "Dunmore", "Elster", "Farrow"]
