@@ -113,6 +113,38 @@ def test_near_duplicates_derived_from_leaders(books, monkeypatch):
     assert got == {i: (root[i], sum(i in p for p in linked)) for i in root}
 
 
+def test_postings_of_split_ngrams_stay_in_bounds(books, monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    texts = [rng.sample(words, 24) for _ in range(150)]
+    texts = [" ".join(x) for x in [*texts, *([*t[:21], "z"] for t in texts[:60])]]
+    rows = [{"book_id": i, "title": "T", "books_intro": t} for i, t in enumerate(texts)]
+    grams = [{c[i : i + 4] for i in range(len(c) - 3)} for c in (neardup.clean("T" + t) for t in texts)]
+    want = {(i, j) for i, j in combinations(range(len(texts)), 2) if len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.6}
+    sent, whole = [], neardup.over_slices
+
+    def over_slices(df, partitions, each, schema):
+        if schema.startswith("a long"):
+            sent.append([(r["slice"], len(neardup.unpack(bytes(r["blob"]))[5]), len(r["blob"])) for r in df.collect()])
+        return whole(df, partitions, each, schema)
+
+    # nearly every n-gram is in more records than a block has
+    monkeypatch.setattr(neardup, "over_slices", over_slices)
+    for name, value in (("BLOCK", 8), ("SLICE_POSTINGS", 4_000)):
+        monkeypatch.setattr(neardup, name, value)
+    for rounds in (False, True):
+        if rounds:
+            for name, value in (("ROUND_BYTES", 500), ("ANY_ROUND", 0)):
+                monkeypatch.setattr(neardup, name, value)
+        sent.clear()
+        assert near_found(books(rows)) == want and len(want) >= 60
+        held = [{x: sum(n for y, n, _ in got if y == x) for x, *_ in got} for got in sent]
+        assert max(max(x.values()) for x in held) < 2 * 4_000
+        assert (len(sent) > 1) == rounds
+        if rounds:
+            assert max(sum(n for *_, n in got) for got in sent) < 2 * 500 * len(texts)
+
+
 def test_slice_candidates_lose_nothing():
     rng = np.random.default_rng(2)
     base = [np.unique(rng.integers(0, 4_000, 150)) for _ in range(30)]
