@@ -352,6 +352,34 @@ def test_vectors_in_chunks_and_for_a_query_set(books):
         assert {i: [n for _, n in sorted(x)] for i, x in found.items()} == {i: want[i] for i in asked}
 
 
+def test_vectors_are_not_sent_to_every_leaf_they_ask(books, monkeypatch):
+    rng = np.random.default_rng(10)
+    data = rng.standard_normal((600, 16))
+    rows = [{"book_id": i, "embedding": v} for i, v in enumerate(data.tolist())]
+    unit = data.astype(np.float32).astype(float)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    want = set()
+    for i in range(600):
+        s = np.round(unit @ unit[i], 9)
+        s[i] = -9
+        want |= {(i, n) for n in np.lexsort((np.arange(600), -s))[:5].tolist()}
+    sent, whole = [], vectors.over_slices
+
+    def over_slices(df, *rest):
+        sent.append(df.selectExpr("sum(length(blob))").first()[0])
+        return whole(df, *rest)
+
+    # 32 leaves, of which each vector asks nearly all
+    monkeypatch.setattr(vectors, "over_slices", over_slices)
+    for size in (None, 20_000):
+        if size:
+            monkeypatch.setattr(vectors, "ROUND_BYTES", size)
+        sent.clear()
+        found = vectors.nearest(books(rows), "book_id", "embedding", 16, depth=5, miss=1e-9).collect()
+        assert {(r["record"], r["neighbour"]) for r in found} == want and len(found) == len(want)
+        assert sum(sent) < 5 * 600 * 16 * 4
+
+
 def test_vectors_of_one_record(books):
     rng = np.random.default_rng(8)
     rows = [{"book_id": 7, "embedding": v} for v in rng.standard_normal((90, 16)).tolist()]
