@@ -521,6 +521,35 @@ def test_subjects(books, spark):
     assert subjects.subject_scores(books(rows), given.limit(0), lexicon).filter("score >= 0.5").count() >= 40
 
 
+def test_subjects_are_the_same_at_every_size(books, spark):
+    rng = random.Random(12)
+    subject_words = {"science": ["ocean current", "plate motion", "coral reef", "reef", "潮汐", "潮汐能"], "law": ["civil claim", "bail hearing", "court order", "court", "保释", "保释金"]}
+    rows, labels = [], []
+    for i in range(160):
+        s = "science" if i % 2 else "law"
+        own, other = subject_words[s], subject_words["law" if s == "science" else "science"]
+        # what only unlabelled books list must still be found
+        listed = own[:3] if i < 60 else own
+        intro = f"It follows the {rng.choice(own)}. On {rng.choice(own)}s and courtship, {rng.choice(own)}. 书中讲{rng.choice(own)}发电。 A joke on {rng.choice(other)} aside."
+        rows.append({"book_id": i, "title": f"Of {rng.choice(own)}", "books_intro": intro, "keywords": listed})
+        if i < 60:
+            labels.append((i, s))
+    rows += [dict(rows[0]), {**rows[1], "books_intro": "Another coral reef. One more coral reef."}]
+    lexicon = spark.createDataFrame([("science", "ocean current"), ("law", "civil claim")], "subject string, keyword string")
+    given = spark.createDataFrame(labels, "book_id long, subject string")
+    held = lambda labels=given, **sizes: sorted(
+        (r["record"], r["subject"], r["in_title"], r["sentences"], round(r["confidence"], 9), round(r["score"], 9))
+        for r in subjects.subject_scores(books(rows), labels, lexicon, **sizes).collect()
+    )
+    want = held()
+    assert len(want) > 150
+    assert held(most_terms=1) == want
+    # labels of other books, and many of them
+    assert held(given.unionByName(spark.range(10**6, 10**6 + 400_000).selectExpr("id as book_id", "'law' as subject"))) == want
+    # a vocabulary of several parts
+    assert held(most_terms=1, part_terms=3) == want
+
+
 # abuse
 
 
